@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import spans
+from . import crosssplit, leaks, spans
 from .base import table
 
 
@@ -24,7 +24,35 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(_records(spark, d))
 
 
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "cases").select(F.col("id").alias("case_id"), F.col("query").alias("text"), "split", "relevant", F.col("origin.kind").alias("source"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.found(_cases(spark, d))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.report(_cases(spark, d))
+
+
+def _tests(spark: SparkSession, d: str) -> DataFrame:
+    return _cases(spark, d).where("split = 'test'").select("case_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_pairs(_tests(spark, d), table(spark, d, "documents"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leak_report(_tests(spark, d), table(spark, d, "documents"))
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_report": p2_report,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
     "p3_found": p3_found,
     "p3_coverage": p3_coverage,
 }
