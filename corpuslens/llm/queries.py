@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosssplit, leaks, spans
+from . import crosssplit, leaks, neardup, spans
 from .base import table
 
 
@@ -48,7 +48,16 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(_tests(spark, d), table(spark, d, "documents"))
 
 
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "hadiths").select(F.col("id").alias("rec_id"), F.col("matn").alias("text"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.found(_bodies(spark, d))
+
+
 QUERIES = {
+    "p4_found": p4_found,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p8_found": p8_found,
