@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosssplit, leaks, neardup, spans
+from . import crosssplit, leaks, linkage, neardup, spans
 from .base import table
 
 
@@ -56,7 +56,24 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.found(_bodies(spark, d))
 
 
+def _quotes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    q = table(spark, d, "dorar_results").select(F.col("result_id").cast("string").alias("rec_id"), "text", "book", "ref")
+    r = table(spark, d, "hadiths").select(F.col("id").alias("rec_id"), F.col("matn").alias("text"), F.col("book_title").alias("book"), F.col("hadith_number").alias("ref"))
+    return q, r
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.matches(*_quotes(spark, d)).select(F.col("rec_id").cast("long").alias("result_id"), F.col("record_id").alias("hadith_id"))
+
+
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    m = linkage.confidences(linkage.matches(*_quotes(spark, d)))
+    return m.select(F.col("rec_id").cast("long").alias("result_id"), F.col("record_id").alias("hadith_id"), "text_dice", "book_dice", "ref_same", "score", "confidence")
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_matches": p1_matches,
     "p4_found": p4_found,
     "p2_found": p2_found,
     "p2_report": p2_report,
