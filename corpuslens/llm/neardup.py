@@ -4,7 +4,7 @@ Two texts of at least ``MIN_WORDS`` words are near when their common words, as m
 longer.  The k-th repetition of a word is a token of its own, so texts are sets and near texts of sizes s <= L differ in
 at most H = L + s - 2*ceil(3L/4) tokens.
 
-* Size bands.  A text of size s is indexed in the band of s and probes the bands that hold sizes from 3L/4 to L.
+* Size bands.  A text of size s is indexed in the band of s; one of size L probes the bands with sizes from 3L/4 to L.
 * Segments.  Within a band the universe of tokens is hashed into m segments.  If a probe gives segment i the allowance
   v_i (-1 skip, 0 equal, 1 one token more or less) with sum(v_i + 1) > H, a near text satisfies one of them.
 * Keys.  The index has every segment's token subset and every one-deletion neighbour of it; a probe emits the keys of
@@ -13,7 +13,8 @@ at most H = L + s - 2*ceil(3L/4) tokens.
   meet, from token frequencies (a sketch of fixed size, counted over all texts).  Costs rise with the step, so taking
   the H+1 cheapest steps is the best allocation.  It decides speed only; any allocation is exact.
 
-Key rows carry a 64-bit parity signature of the token set.  Signatures of texts that differ in d tokens differ in at
+Key rows carry a parity signature of the token set on 112 bits and its size on 16 (at most), and keys are as short as
+keeps chance meetings at about one a key.  Signatures of texts that differ in d tokens differ in at
 most d bits, so the join drops nearly all strangers before anything else is fetched.  Survivors are verified token by
 token.  Texts with the same words are one class, handled once; no group's pairs are formed other than true near pairs.
 
@@ -28,21 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .base import cut, frequency_sketch, map_arrow, ragged
+from .base import frequency_sketch, map_arrow
 from .crosssplit import _numbered
 from .leaks import _flat
 
 MIN_WORDS = 15
 SKETCH_BITS = 17
-SEGMENTS_PER_WORD = 0.35
-KEY_BITS = 44
+SEGMENTS_PER_WORD = 0.5
+KEY_COST = 5.0  # what a key row costs, in texts met
+TOKEN_BYTES = 5  # 40 bits of a token's hash; a chance meeting within a pair is rarer than 1 in 10**8
 U = np.uint64
 
 
 def _bands() -> np.ndarray:
     b = [MIN_WORDS]
     while b[-1] < 1 << 40:
-        b.append(-(-b[-1] * 4 // 3))
+        b.append(-(-b[-1] * 8 // 5))
     return np.array(b, np.int64)
 
 
@@ -63,10 +65,15 @@ def _tokens(batch):
         some = words.count > 0
         total[some] = np.add.reduceat(vec.mix(value), words.first[:-1][some])
     keep = np.flatnonzero(words.count >= MIN_WORDS)
-    lists = ragged(words.first, value.view(np.int64)).take(pa.array(keep))
+    short = (value >> U(64 - 8 * TOKEN_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
+    lists = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((words.first * TOKEN_BYTES).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(short))]).take(pa.array(keep))
     return {"rec_id": batch["rec_id"].take(pa.array(keep)), "class": vec.signed(vec.mix(total + words.count.astype(U))[keep]), "tokens": lists}
 
 
+def _all_tokens(batch):
+    return _unpack(_tokens(batch)["tokens"])[1]
+
+
 def _classes(batch):
     out = _tokens(batch)
     return {"rec_id": out["rec_id"], "class": out["class"]}
@@ -81,21 +88,28 @@ def _unpack(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of each token, token, size of each row)."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    size = np.diff(np.asarray(col.offsets)).astype(np.int64)
-    return np.repeat(np.arange(len(size)), size), np.asarray(col.flatten()).view(U), size
+    col = col.cast(pa.large_binary())
+    off = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
+    raw = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]].reshape(-1, TOKEN_BYTES) if off[-1] > off[0] else np.zeros((0, TOKEN_BYTES), np.uint8)
+    value = np.zeros((len(raw), 8), np.uint8)
+    value[:, :TOKEN_BYTES] = raw
+    size = np.diff(off) // TOKEN_BYTES
+    return np.repeat(np.arange(len(size)), size), vec.mix(value.view("<u8").ravel()), size
 
 
 def signature(row, value, rows: int) -> np.ndarray:
-    """Parity of the number of tokens on each of 64 bits."""
-    bit = U(1) << (vec.mix(value ^ U(0xA5A5)) >> U(58))
-    out = np.zeros(rows, U)
-    np.bitwise_xor.at(out, row, bit)
+    """Parity of the number of tokens on each of 64 + 48 bits; a token is on one bit; the low 16 bits hold the size."""
+    at = (vec.mix(value ^ U(0xA5A5)) >> U(32)) % U(112)
+    out = np.zeros((2, rows), U)
+    np.bitwise_xor.at(out, ((at >> U(6)).astype(np.int64), row), U(1) << np.where(at < 64, at, at - U(48)))
+    out[1] |= np.minimum(np.bincount(row, minlength=rows), 65535).astype(U)
     return out
 
 
 def _signed_lists(batch):
     row, value, size = _unpack(batch["tokens"])
-    return {"class": batch["class"], "sig": vec.signed(signature(row, value, len(size))), "size": pa.array(size.astype(np.int32)), "tokens": batch["tokens"]}
+    low, high = signature(row, value, len(size))
+    return {"class": batch["class"], "sig": vec.signed(low), "sig2": vec.signed(high), "size": pa.array(size.astype(np.int32)), "tokens": batch["tokens"]}
 
 
 def _segments(row, value, size, band):
@@ -111,27 +125,27 @@ def _segments(row, value, size, band):
     return owner, number, slot, h, total
 
 
-def _key(hashes, number, band, kind: int):
+def _key(hashes, number, band, kind: int, bits: int):
     place = vec.mix((band.astype(U) << U(32)) + (number.astype(U) << U(1)) + U(kind))
-    return (vec.mix(hashes ^ place) >> U(64 - KEY_BITS)).view(np.int64)
+    return (vec.mix(hashes ^ place) >> U(64 - bits)).view(np.int64)
 
 
 def _band(size):
     return np.searchsorted(BANDS, size, "right") - 1
 
 
-def _index(batch):
+def _index(batch, bits: int):
     row, value, size = _unpack(batch["tokens"])
     band = _band(size)
     owner, number, slot, h, total = _segments(row, value, size, band)
-    key = np.concatenate([_key(total, number, band[owner], 0), _key(total[slot] - h, number[slot], band[row], 1)])
+    key = np.concatenate([_key(total, number, band[owner], 0, bits), _key(total[slot] - h, number[slot], band[row], 1, bits)])
     who = np.concatenate([owner, row])
     order = np.argsort(who, kind="stable")
     take = pa.array(who[order])
-    return {"key": pa.array(key[order]), "i_sig": batch["sig"].take(take), "i_size": batch["size"].take(take)}
+    return {"key": pa.array(key[order]), "i_sig": batch["sig"].take(take), "i_sig2": batch["sig2"].take(take)}
 
 
-def _probe(counts, texts_in_all: int):
+def _probe(counts, texts_in_all: int, bits: int):
     def fn(batch):
         row0, value0, size0 = _unpack(batch["tokens"])
         own = _band(size0)
@@ -153,8 +167,8 @@ def _probe(counts, texts_in_all: int):
             fewer = np.zeros(len(owner))
             np.add.at(fewer, slot, texts_in_all * np.exp(logp[slot] - np.log(p)))
             n_tok = np.bincount(slot, minlength=len(owner))
-            cost0 = met + 0.3
-            cost1 = np.maximum(fewer + 2 * met + 0.3 * (n_tok + 1), cost0 * 1.0001)
+            cost0 = met + KEY_COST
+            cost1 = np.maximum(fewer + met + KEY_COST * (n_tok + 1), cost0 * 1.0001)
             who = np.concatenate([owner, owner])
             order = np.lexsort((np.concatenate([cost0, cost1]), who))
             rank = np.arange(len(order)) - np.searchsorted(who[order], who[order])
@@ -163,14 +177,14 @@ def _probe(counts, texts_in_all: int):
             one, two = np.flatnonzero(steps >= 1), np.flatnonzero(steps == 2)
             tok = np.flatnonzero(steps[slot] == 2)
             key = np.concatenate([
-                _key(total[one], number[one], band[owner[one]], 0),
-                _key(total[two], number[two], band[owner[two]], 1),
-                _key(total[slot[tok]] - h[tok], number[slot[tok]], band[row[tok]], 0),
+                _key(total[one], number[one], band[owner[one]], 0, bits),
+                _key(total[two], number[two], band[owner[two]], 1, bits),
+                _key(total[slot[tok]] - h[tok], number[slot[tok]], band[row[tok]], 0, bits),
             ])
             who = np.concatenate([owner[one], owner[two], row[tok]])
             order = np.argsort(who, kind="stable")
             take = pa.array(sel[who[order]])
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key[order]), "p_sig": batch["sig"].take(take), "p_size": batch["size"].take(take)})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key[order]), "p_sig": batch["sig"].take(take), "p_sig2": batch["sig2"].take(take)})
 
     return fn
 
@@ -206,20 +220,24 @@ def _given(records: DataFrame) -> DataFrame:
 def class_pairs(records: DataFrame) -> DataFrame:
     """Distinct near pairs (class_a, class_b, n, longest) of different classes, class_a < class_b."""
     records = _given(records)
-    lists = map_arrow(records, _lists, "class long, tokens array<long>").groupBy("class").agg(F.first("tokens").alias("tokens"))
-    texts = cut(map_arrow(lists, _signed_lists, "class long, sig long, size int, tokens array<long>"))
-    n = texts.count()
-    counts = texts.sparkSession.sparkContext.broadcast(frequency_sketch(texts.select("tokens"), lambda b: _unpack(b["tokens"])[1], SKETCH_BITS))
-    index = map_arrow(texts.select("sig", "size", "tokens"), _index, "key long, i_sig long, i_size int")
-    probes = _flat(texts.select("sig", "size", "tokens"), _probe(counts, n), "key long, p_sig long, p_size int")
-    most = F.floor((F.greatest("p_size", "i_size") * 3 + 3) / 4)
-    met = probes.join(index, "key").where(
-        (F.col("i_size") <= F.col("p_size")) & (F.col("i_size") >= most)
-        & (F.bit_count(F.col("p_sig").bitwiseXOR(F.col("i_sig"))) <= F.col("p_size") + F.col("i_size") - most * 2)
-    )
-    met = met.select("p_sig", "p_size", "i_sig", "i_size").distinct()
-    side = lambda s: texts.select(F.col("class").alias(f"{s}_class"), F.col("sig").alias(f"{s}_sig"), F.col("size").alias(f"{s}_size"), F.col("tokens").alias(f"{s}_tokens"))
-    pairs = met.join(side("p"), ["p_sig", "p_size"]).join(side("i"), ["i_sig", "i_size"]).where("p_class <> i_class")
+    sketch = frequency_sketch(records, _all_tokens, SKETCH_BITS)
+    n = int(records.count())
+    counts = records.sparkSession.sparkContext.broadcast(sketch)
+    lists = map_arrow(records, _lists, "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
+    texts = map_arrow(lists, _signed_lists, "class long, sig long, sig2 long, size int, tokens binary")
+    bits = min(int(np.ceil(np.log2(max(n, 1) * 64))), 64)  # a probe key meets about one stranger
+    inputs = texts.select("sig", "sig2", "size", "tokens")
+    index = map_arrow(inputs, lambda b: _index(b, bits), "key long, i_sig long, i_sig2 long")
+    probes = _flat(inputs, _probe(counts, n, bits), "key long, p_sig long, p_sig2 long")
+    p_size, i_size = (F.col(f"{s}_sig2").bitwiseAND(F.lit(65535)) for s in "pi")
+    most = F.floor((p_size * 3 + 3) / 4)
+    parity = F.lit(-65536).cast("long")
+    differ = F.bit_count(F.col("p_sig").bitwiseXOR(F.col("i_sig"))) + F.bit_count(F.col("p_sig2").bitwiseXOR(F.col("i_sig2")).bitwiseAND(parity))
+    capped = p_size == 65535  # sizes that don't fit are told apart when verified
+    met = probes.join(index, "key").where(capped | ((i_size <= p_size) & (i_size >= most) & (differ <= p_size + i_size - most * 2)))
+    met = met.select("p_sig", "i_sig").distinct()
+    side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("class", "sig", "size", "tokens")])
+    pairs = met.join(side("p"), "p_sig").join(side("i"), "i_sig").where("p_class <> i_class")
     near = map_arrow(pairs.select("p_class", "i_class", "p_size", "i_size", "p_tokens", "i_tokens"), _verify, "class_a long, class_b long, n long, longest long")
     return near.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "n", "longest").distinct()
 
