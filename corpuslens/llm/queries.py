@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosssplit, leaks, linkage, neardup, spans
+from . import crosssplit, leaks, linkage, lookalikes, neardup, spans
 from .base import table
 
 
@@ -71,7 +71,22 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("rec_id").cast("long").alias("result_id"), F.col("record_id").alias("hadith_id"), "text_dice", "book_dice", "ref_same", "score", "confidence")
 
 
+def _fields(spark: SparkSession, d: str) -> list:
+    h, c = table(spark, d, "hadiths"), table(spark, d, "cases")
+    return [(h, "hadiths", "id", "matn"), (h, "hadiths", "id", "isnad"), (c, "cases", "id", "query")]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.deviating(_fields(spark, d))
+
+
+def p6_normalized(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.normalized(_fields(spark, d))
+
+
 QUERIES = {
+    "p6_found": p6_found,
+    "p6_normalized": p6_normalized,
     "p1_found": p1_found,
     "p1_matches": p1_matches,
     "p4_found": p4_found,

@@ -24,11 +24,8 @@ INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x18
 
 # Arabic-script letters drawn like a letter of the plain Arabic alphabet, and digits of the same look.
 ARABIC_LOOKALIKES = {
-    0x06A9: 0x0643, 0x06AA: 0x0643, 0x06CC: 0x064A, 0x06CD: 0x064A, 0x06D0: 0x064A, 0x06D2: 0x064A,
-    0x06BE: 0x0647, 0x06C1: 0x0647, 0x06D5: 0x0647, 0x06C0: 0x0629, 0x06C2: 0x0629, 0x06C3: 0x0629, 0x06BA: 0x0646,
-    0x0672: 0x0623, 0x0673: 0x0625, 0x0675: 0x0623, 0x0676: 0x0624, 0x0678: 0x0626, 0x0674: 0x0621,
-    0x06F0: 0x0660, 0x06F1: 0x0661, 0x06F2: 0x0662, 0x06F3: 0x0663, 0x06F4: 0x0664,
-    0x06F5: 0x0665, 0x06F6: 0x0666, 0x06F7: 0x0667, 0x06F8: 0x0668, 0x06F9: 0x0669,
+    0x06A9: 0x0643, 0x06AA: 0x0643, 0x06CC: 0x064A, 0x06BE: 0x0647, 0x06C1: 0x0647, 0x06D5: 0x0647,
+    0x06F0: 0x0660, 0x06F1: 0x0661, 0x06F2: 0x0662, 0x06F3: 0x0663, 0x06F7: 0x0667, 0x06F8: 0x0668, 0x06F9: 0x0669,
 }
 
 # Letter folding of the common form.
