@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosssplit, leaks, linkage, lookalikes, neardup, spans
+from . import crosssplit, leaks, linkage, lookalikes, markup, mixing, neardup, spans
 from .base import table
 
 
@@ -84,7 +84,37 @@ def p6_normalized(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalized(_fields(spark, d))
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dorar_api_sample").select(F.col("sample_id").alias("key"), F.col("ahadith.result").alias("source"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.fields(_answers(spark, d)).select(F.col("key").alias("sample_id"), "item_no", "field_name", "letters_md5")
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.fields(_answers(spark, d)).select(F.col("key").alias("sample_id"), "item_no", "field_name", "value")
+
+
+def p7_paths(spark: SparkSession, d: str) -> DataFrame:
+    return markup.path_scores(_answers(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
+
+
 QUERIES = {
+    "p7_found": p7_found,
+    "p7_clean": p7_clean,
+    "p7_paths": p7_paths,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p6_found": p6_found,
     "p6_normalized": p6_normalized,
     "p1_found": p1_found,
