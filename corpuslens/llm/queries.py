@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosssplit, leaks, linkage, lookalikes, markup, mixing, neardup, spans
+from . import crosssplit, leaks, linkage, lookalikes, markup, mixing, neardup, spans, subjects
 from .base import table
 
 
@@ -109,7 +109,22 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    names = sorted(r[0] for r in table(spark, d, "subjects").select("subject").where("subject is not null").distinct().collect())
+    return subjects.classify(table(spark, d, "documents"), table(spark, d, "subject_labels"), names)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("posterior >= 0.5").select("doc_id", "subject")
+
+
+def p10_makeup(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.make_up(_judged(spark, d))
+
+
 QUERIES = {
+    "p10_found": p10_found,
+    "p10_makeup": p10_makeup,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
     "p7_paths": p7_paths,
