@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosssplit, leaks, linkage, lookalikes, markup, mixing, neardup, spans, subjects
+from . import crosssplit, leaks, linkage, lookalikes, markup, mixing, names, neardup, spans, subjects
 from .base import table
 
 
@@ -122,7 +122,21 @@ def p10_makeup(spark: SparkSession, d: str) -> DataFrame:
     return subjects.make_up(_judged(spark, d))
 
 
+def _narrators(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities(table(spark, d, "routes").where("name is not null and not coalesce(is_relative, false)").select("name"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(_narrators(spark, d))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    return _narrators(spark, d)
+
+
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_entities": p5_entities,
     "p10_found": p10_found,
     "p10_makeup": p10_makeup,
     "p7_found": p7_found,
