@@ -1,4 +1,260 @@
-"""Queries by name, and their SQL counterparts."""
+"""Queries of the core by name.  Each runs over its whole tables; their SQL counterparts are in ``sql``."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import lexicon as L
+from ..functions import text as X
+from ..operators import chains, evaluation, families, grades, index, records, search, tree
+from .sql import SQL
+
+BOOK = "wadi"
+MARKERS = ("حدثنا", "حدثني", "اخبرنا", "اخبرني", "انبانا", "انباني", "عن", "سمعت", "قال")
+
+
+def _r(s: SparkSession, d: str) -> DataFrame:
+    return records.records(s, d)
+
+
+def _c(s: SparkSession, d: str) -> DataFrame:
+    return records.cases(s, d)
+
+
+def _routes(s: SparkSession, d: str) -> DataFrame:
+    return tree.routes(records.table(s, d, "routes"))
+
+
+def _raw_routes(s: SparkSession, d: str) -> DataFrame:
+    return records.table(s, d, "routes").where("id is not null")
+
+
+def _results(s: SparkSession, d: str) -> DataFrame:
+    return records.table(s, d, "dorar_results").where("result_id is not null").dropDuplicates(["result_id"])
+
+
+def _hundredth(s: SparkSession, d: str) -> DataFrame:
+    """Query set of the neighbour search: every record whose position is divisible by 100, against all records."""
+    return _r(s, d).where("pos % 100 = 0").select(F.col("id").alias("doc"))
+
+
+def normalize_records(s, d):
+    return _r(s, d).select("id", "nm", X.stem(F.element_at(F.split("nm", " "), 1)).alias("first_stem"))
+
+
+def token_stats(s, d):
+    return index.stats(index.doc_lengths(_r(s, d))).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def char_ngram_counts(s, d):
+    return _r(s, d).select(F.explode(X.char_ngrams(F.col("nm"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def stems(s, d):
+    return index.postings(_r(s, d)).select("term").distinct().select("term", X.stem(F.col("term")).alias("stem"))
+
+
+def detect_modes(s, d):
+    q = records.cases(s, d)
+    return q.select("id", X.detect_mode(F.col("query")).alias("mode"), X.topic_text(F.col("qn")).alias("topic"))
+
+
+def inverted_index(s, d):
+    return index.postings(_r(s, d))
+
+
+def term_idf(s, d):
+    post = index.postings(_r(s, d))
+    return index.terms(post, index.stats(index.doc_lengths(_r(s, d)))).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_topk(s, d):
+    return index.top(_c(s, d), _r(s, d))
+
+
+def bm25_book_filter(s, d):
+    return index.top_in_book(_c(s, d), _r(s, d), BOOK)
+
+
+def fuzzy_terms(s, d):
+    return index.expansions(_c(s, d), _r(s, d))
+
+
+def phrase_containment(s, d):
+    return index.containment(_c(s, d), _r(s, d))
+
+
+def closest_candidates(s, d):
+    return index.closest(_c(s, d), _r(s, d))
+
+
+def search_verify(s, d):
+    return search.results(_c(s, d), _r(s, d))
+
+
+def search_topic(s, d):
+    c = _c(s, d).withColumn("qn", X.topic_text(F.col("qn")))
+    return search.results(c, _r(s, d), "topic")
+
+
+def verdict_states(s, d):
+    return search.verdicts(_c(s, d), search_verify(s, d))
+
+
+def tfidf_weights(s, d):
+    return families.weights(_r(s, d)).groupBy("doc").agg(F.count("*").alias("grams"), F.round(F.max("w"), 5).alias("largest"))
+
+
+def families_topk(s, d):
+    return families.neighbours(_r(s, d), _hundredth(s, d))
+
+
+def family_closure(s, d):
+    r = _r(s, d)
+    q = _hundredth(s, d)
+    refers = records.references(r)
+    base = q.join(refers.select(F.col("id").alias("doc"), "refers_to"), "doc", "left").select(F.coalesce("refers_to", "doc").alias("doc"))
+    return families.closure(q, families.neighbours(r, base), refers)
+
+
+def near_copies(s, d):
+    """Members of families at 0.9 and more of the query set."""
+    return families.neighbours(_r(s, d), _hundredth(s, d), 0.9).select("doc", "other")
+
+
+def ir_metrics(s, d):
+    return evaluation.metrics(evaluation.first_ranks(_c(s, d), bm25_topk(s, d)))
+
+
+def threshold_report(s, d):
+    return evaluation.threshold_report(ir_metrics(s, d))
+
+
+def case_counts(s, d):
+    return evaluation.case_counts(_c(s, d))
+
+
+def held_out_in_training(s, d):
+    return evaluation.held_out_in_training(_c(s, d))
+
+
+def nan_cleaning(s, d):
+    return records.placeholders(records.table(s, d, "hadiths"))
+
+
+def duplicate_ids(s, d):
+    return records.numbered_ids(_r(s, d))
+
+
+def chapter_runs(s, d):
+    return records.chapter_runs(_r(s, d))
+
+
+def prev_reference(s, d):
+    return records.references(_r(s, d))
+
+
+def hash_sample(s, d):
+    return records.hash_sample(_r(s, d))
+
+
+def lookback_join(s, d):
+    return chains.look_back(_r(s, d), _routes(s, d))
+
+
+def accusative_fix(s, d):
+    return chains.accusative(chains.name_words(records.table(s, d, "routes")))
+
+
+def isnad_word_tags(s, d):
+    return chains.word_tags(_r(s, d), _raw_routes(s, d), MARKERS)
+
+
+def chain_quality(s, d):
+    return chains.quality(_r(s, d), _routes(s, d))
+
+
+def route_tree_exact(s, d):
+    return tree.nodes(tree.prefixes(_routes(s, d)))
+
+
+def branch_point(s, d):
+    return tree.branch_points(route_tree_exact(s, d))
+
+
+def tree_summary(s, d):
+    return tree.summary(_routes(s, d))
+
+
+def route_filter_shortest(s, d):
+    return tree.shortest(_routes(s, d))
+
+
+def name_relations(s, d):
+    return tree.relations(_routes(s, d))
+
+
+def routes_as_text(s, d):
+    return tree.as_text(_routes(s, d))
+
+
+def route_expand(s, d):
+    return tree.expand(records.table(s, d, "routes"))
+
+
+def find_narrator(s, d):
+    return tree.find(_routes(s, d), "زياد بن نولز")
+
+
+def routes_through(s, d):
+    return tree.through(_routes(s, d), "زياد بن نولز بن سهيم الجصيي")
+
+
+def grade_match(s, d):
+    return grades.matches(_r(s, d), _results(s, d))
+
+
+def grade_partition(s, d):
+    """Per record: high-confidence attributions (the first four shown, the rest folded) and uncertain ones."""
+    m = grade_match(s, d)
+    high = F.col("confidence") == "high"
+    return m.groupBy("id").agg(F.sum(high.cast("long")).alias("high"), F.sum((~high).cast("long")).alias("uncertain")).select("id", "high", F.least("high", F.lit(4)).alias("shown"), "uncertain")
+
+
+def grades_cache(s, d):
+    keys = _r(s, d).select(grades.query_key(F.col("matn")).alias("skey"))
+    stored = _results(s, d).select(grades.query_key(F.col("text")).alias("skey"), "result_id")
+    return grades.lookup(keys, stored.where("result_id % 2 = 0"), stored).groupBy("origin").agg(F.count("*").alias("n"))
+
+
+def grades_to_fetch(s, d):
+    keys = _r(s, d).select(grades.query_key(F.col("matn")).alias("skey"))
+    return grades.to_fetch(keys, _results(s, d).select(grades.query_key(F.col("text")).alias("skey")))
+
+
+def case_sources(s, d):
+    """Word differences of each case's query and its first relevant record."""
+    c = _c(s, d).where("size(relevant) > 0").select(F.col("id").alias("a_id"), F.element_at("relevant", 1).alias("b_id"), F.col("query").alias("a"))
+    return search.differences(c.join(_r(s, d).select(F.col("id").alias("b_id"), F.col("matn").alias("b")), "b_id")).select("a_id", "b_id", "shared_words", "a_words", "b_words", F.size("ops").alias("ops"))
+
+
+def record_cards(s, d):
+    """Public projection of a record: book, plain number, quote cut at 160 characters, quoted first words of its chain."""
+    r = _r(s, d)
+    m = X.cleaned(F.col("matn"))
+    return r.select("id", "book_title", X.plain_number(F.col("hadith_number")).alias("number"), F.when(F.length(m) > 160, F.concat(F.substring(m, 1, 160), F.lit("…"))).otherwise(m).alias("quote"), X.cleaned(F.col("grade")).alias("grade"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    normalize_records, token_stats, char_ngram_counts, stems, detect_modes, inverted_index, term_idf, bm25_topk, bm25_book_filter, fuzzy_terms,
+    phrase_containment, closest_candidates, search_verify, search_topic, verdict_states, tfidf_weights, families_topk, family_closure, near_copies,
+    ir_metrics, threshold_report, case_counts, held_out_in_training, nan_cleaning, duplicate_ids, chapter_runs, prev_reference, hash_sample,
+    lookback_join, accusative_fix, isnad_word_tags, chain_quality, route_tree_exact, branch_point, tree_summary, route_filter_shortest,
+    name_relations, routes_as_text, route_expand, find_narrator, routes_through, grade_match, grade_partition, grades_cache, grades_to_fetch,
+    case_sources, record_cards,
+)}
+
+__all__ = ["QUERIES", "SQL", "L"]
