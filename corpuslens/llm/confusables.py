@@ -73,7 +73,7 @@ def respell(token: str, main: str) -> str:
     if not able:
         return token
     count = {s: sum(script(c) == s for c in token) for s in able}
-    best = max(able, key=lambda s: (count[s], s == main, s))
+    best = main if len(own) == 1 else max(able, key=lambda s: (count[s], s == main, s))
     return "".join(spellings(c).get(best, c) for c in token)
 
 

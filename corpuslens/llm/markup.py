@@ -4,7 +4,7 @@
   Per answer and path, text length, punctuation and linked text are aggregated; each node takes its path's ratio, and
   the sequence of ratios is smoothed with a small Gaussian window, so a short value beside long ones keeps its company.
 * Fusion.  Over all answers, a path's score is its smoothed text ratio, raised by punctuation and lowered by the share
-  of linked text.  Paths are content if their score reaches a fixed share of the mean over nodes.
+  of linked text.  Paths are content if their score reaches a fixed share of the geometric mean over nodes, which one huge node doesn't move.
 * Fields.  Results are read from content paths only: a text block, then labelled values.
 
 Clean values lose tags, comments, scripts, styles, link targets and emphasis marks (HTML, Markdown, wiki, LaTeX); they
@@ -115,7 +115,7 @@ def path_scores(answers: DataFrame) -> DataFrame:
     per = rows.groupBy("path").agg(*[F.sum(c).alias(c) for c in ("nodes", "soft", "letters", "punct", "linked")])
     some = F.when(F.col("letters") > 0, 1 - F.col("linked") / F.col("letters")).otherwise(0.0)
     per = per.select("path", "nodes", ((F.col("soft") / F.col("nodes")) * (1 + F.col("punct") / (F.col("letters") + 1)) * some).alias("score"))
-    mean = per.agg((F.sum(F.col("score") * F.col("nodes")) / F.sum("nodes")).alias("mean"))
+    mean = per.agg((F.exp(F.sum(F.log1p("score") * F.col("nodes")) / F.sum("nodes")) - 1).alias("mean"))
     return per.crossJoin(F.broadcast(mean)).select("path", "nodes", F.round("score", 4).alias("score"), (F.col("score") >= F.col("mean") * SHARE_OF_MEAN).alias("content"))
 
 
