@@ -1,3 +1,18 @@
-"""DuckDB counterparts of the queries of this subpackage."""
+"""DuckDB counterparts of the queries of this subpackage that SQL can express."""
 
-SQL: dict[str, str] = {}
+_WHITE = r"[\t\n\x{0B}\f\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_RUNS = f"""r AS (SELECT DISTINCT 'hadiths' AS table_name, id AS rec_id, matn AS t FROM hadiths UNION ALL SELECT DISTINCT 'cases', id, query FROM cases),
+w AS (SELECT table_name, rec_id, list_filter(string_split_regex(coalesce(t, ''), '{_WHITE}'), lambda x: x <> '') AS ws FROM r WHERE rec_id IS NOT NULL),
+g AS (SELECT table_name, rec_id, i, array_to_string(ws[i:i + 11], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - 10)) AS i FROM w)),
+s AS (SELECT gram FROM (SELECT DISTINCT gram, table_name, rec_id FROM g) GROUP BY gram HAVING count(*) > 1),
+h AS (SELECT table_name, rec_id, i - 1 AS a FROM g WHERE gram IN (SELECT gram FROM s)),
+k AS (SELECT *, CASE WHEN a > lag(a) OVER (PARTITION BY table_name, rec_id ORDER BY a) + 12 THEN 1 ELSE 0 END AS new FROM h),
+j AS (SELECT *, sum(new) OVER (PARTITION BY table_name, rec_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS no FROM k),
+f AS (SELECT table_name, rec_id, min(a) AS first_word, max(a) + 11 AS last_word FROM j GROUP BY table_name, rec_id, no)"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"WITH {_RUNS} SELECT table_name, rec_id, first_word, last_word FROM f",
+    "p3_coverage": f"""WITH {_RUNS}, c AS (SELECT table_name, rec_id, sum(last_word - first_word + 1) AS n FROM f GROUP BY ALL)
+SELECT w.table_name, w.rec_id, len(ws) AS n_words, coalesce(c.n, 0) AS shared_words, round(CASE WHEN len(ws) > 0 THEN coalesce(c.n, 0) / len(ws) ELSE 0 END, 4) AS shared_share
+FROM w LEFT JOIN c ON c.table_name = w.table_name AND c.rec_id = w.rec_id""",
+}
