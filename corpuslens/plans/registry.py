@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions import text as X
-from ..operators import chains, evaluation, families, grades, index, records, search, tree
+from ..operators import chains, evaluation, families, grades, index, parser, records, search, tree
 from .sql import SQL
 
 BOOK = "wadi"
@@ -248,13 +248,22 @@ def record_cards(s, d):
     return r.select("id", "book_title", X.plain_number(F.col("hadith_number")).alias("number"), F.when(F.length(m) > 160, F.concat(F.substring(m, 1, 160), F.lit("…"))).otherwise(m).alias("quote"), X.cleaned(F.col("grade")).alias("grade"))
 
 
+def chain_parse(s, d):
+    return parser.routes(_r(s, d))
+
+
+def chain_parse_tree(s, d):
+    """Tree summaries of the chains as parsed here."""
+    return tree.summary(tree.routes(chain_parse(s, d)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     normalize_records, token_stats, char_ngram_counts, stems, detect_modes, inverted_index, term_idf, bm25_topk, bm25_book_filter, fuzzy_terms,
     phrase_containment, closest_candidates, search_verify, search_topic, verdict_states, tfidf_weights, families_topk, family_closure, near_copies,
     ir_metrics, threshold_report, case_counts, held_out_in_training, nan_cleaning, duplicate_ids, chapter_runs, prev_reference, hash_sample,
     lookback_join, accusative_fix, isnad_word_tags, chain_quality, route_tree_exact, branch_point, tree_summary, route_filter_shortest,
     name_relations, routes_as_text, route_expand, find_narrator, routes_through, grade_match, grade_partition, grades_cache, grades_to_fetch,
-    case_sources, record_cards,
+    case_sources, record_cards, chain_parse, chain_parse_tree,
 )}
 
 __all__ = ["QUERIES", "SQL", "L"]
