@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import lexicon as L
@@ -18,7 +19,7 @@ def query_key(c) -> F.Column:
     return X.first_words(X.normalize(c), 9)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of the shorter text's words found in order in the other (matching blocks), 3 digits; 0 for an empty text."""
 
