@@ -11,9 +11,11 @@ at most H = L + s - 2*ceil(3L/4) tokens.
   its allowances only.  Subsets are hashed additively, so a deletion is one subtraction.
 * Cost-based allocation.  Each step of an allowance has the cost of its keys and of the texts they are expected to
   meet, from token frequencies (a sketch of fixed size, counted over all texts).  Costs rise with the step, so taking
-  the H+1 cheapest steps is the best allocation.  It decides speed only; any allocation is exact.
+  the H+1 cheapest steps is the best allocation.  The same costs, summed over all texts, decide whether the index
+  holds deletion neighbourhoods (more key rows, fewer strangers met: they pay in larger collections) or finer segments
+  only.  Both decide speed alone; any allocation is exact.
 
-Key rows carry a parity signature of the token set on 112 bits and its size on 16 (at most), and keys are as short as
+Key rows carry a parity signature of the token set (112 bits, large texts 224) and its size, and keys are as short as
 keeps chance meetings at about one a key.  Signatures of texts that differ in d tokens differ in at
 most d bits, so the join drops nearly all strangers before anything else is fetched.  Survivors are verified token by
 token.  Texts with the same words are one class, handled once; no group's pairs are formed other than true near pairs.
@@ -35,10 +37,12 @@ from .leaks import _flat
 
 MIN_WORDS = 15
 SKETCH_BITS = 17
-SEGMENTS_PER_WORD = 0.5
-KEY_COST = 5.0  # what a key row costs, in texts met
+SEGMENTS = {True: 0.5, False: 1.0}  # segments per word, with and without deletion neighbourhoods
+LARGE = 56  # words from which a text's signature has two halves
+KEY_COST = 100.0  # what writing, sorting and sending a key row costs, in texts met (two signatures compared)
 TOKEN_BYTES = 5  # 40 bits of a token's hash; a chance meeting within a pair is rarer than 1 in 10**8
 U = np.uint64
+SIGS = ("sig", "sig2", "sig3", "sig4")
 
 
 def _bands() -> np.ndarray:
@@ -74,6 +78,11 @@ def _all_tokens(batch):
     return _unpack(_tokens(batch)["tokens"])[1]
 
 
+def _bands_of(batch):
+    n = vec.common_words(batch["text"]).count
+    return {"band": pa.array(_band(n[n >= MIN_WORDS]).astype(np.int32))}
+
+
 def _classes(batch):
     out = _tokens(batch)
     return {"rec_id": out["rec_id"], "class": out["class"]}
@@ -97,24 +106,31 @@ def _unpack(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(size)), size), vec.mix(value.view("<u8").ravel()), size
 
 
-def signature(row, value, rows: int) -> np.ndarray:
-    """Parity of the number of tokens on each of 64 + 48 bits; a token is on one bit; the low 16 bits hold the size."""
-    at = (vec.mix(value ^ U(0xA5A5)) >> U(32)) % U(112)
-    out = np.zeros((2, rows), U)
-    np.bitwise_xor.at(out, ((at >> U(6)).astype(np.int64), row), U(1) << np.where(at < 64, at, at - U(48)))
-    out[1] |= np.minimum(np.bincount(row, minlength=rows), 65535).astype(U)
+def signature(row, value, size) -> np.ndarray:
+    """Parity of the number of tokens per bit, each token on one bit: two halves of 64 + 48 bits.
+
+    Small texts use the first half only; a large text's halves, one over the other, are what a small one would have.
+    The low 16 bits of the second word hold the size.
+    """
+    rows = len(size)
+    at = ((vec.mix(value ^ U(0xA5A5)) >> U(32)) % U(224)).astype(np.int64)
+    half = np.where(size[row] >= LARGE, at // 112, 0)
+    at %= 112
+    out = np.zeros((4, rows), U)
+    np.bitwise_xor.at(out, (2 * half + at // 64, row), U(1) << np.where(at < 64, at, at - 48).astype(U))
+    out[1] |= np.minimum(size, 65535).astype(U)
     return out
 
 
 def _signed_lists(batch):
     row, value, size = _unpack(batch["tokens"])
-    low, high = signature(row, value, len(size))
-    return {"class": batch["class"], "sig": vec.signed(low), "sig2": vec.signed(high), "size": pa.array(size.astype(np.int32)), "tokens": batch["tokens"]}
+    sigs = signature(row, value, size)
+    return {"class": batch["class"]} | {c: vec.signed(v) for c, v in zip(SIGS, sigs)} | {"size": pa.array(size.astype(np.int32)), "tokens": batch["tokens"]}
 
 
-def _segments(row, value, size, band):
+def _segments(row, value, size, band, deletions: bool):
     """Per text of a band: m, and per (text, segment) its additive hash, token count and each token's segment slot."""
-    m = np.maximum(np.ceil(SEGMENTS_PER_WORD * (BANDS[band + 1] - 1)), 2).astype(np.int64)
+    m = np.maximum(np.ceil(SEGMENTS[deletions] * (BANDS[band + 1] - 1)), 2).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(m)])
     h = vec.mix(value + vec.mix(band.astype(U))[row])
     slot = first[row] + ((h >> U(24)) % m[row].astype(U)).astype(np.int64)
@@ -134,46 +150,70 @@ def _band(size):
     return np.searchsorted(BANDS, size, "right") - 1
 
 
-def _index(batch, bits: int):
+def _index(batch, bits: int, deletions: bool):
     row, value, size = _unpack(batch["tokens"])
     band = _band(size)
-    owner, number, slot, h, total = _segments(row, value, size, band)
-    key = np.concatenate([_key(total, number, band[owner], 0, bits), _key(total[slot] - h, number[slot], band[row], 1, bits)])
-    who = np.concatenate([owner, row])
+    owner, number, slot, h, total = _segments(row, value, size, band, deletions)
+    key, who = _key(total, number, band[owner], 0, bits), owner
+    if deletions:
+        key, who = np.concatenate([key, _key(total[slot] - h, number[slot], band[row], 1, bits)]), np.concatenate([owner, row])
     order = np.argsort(who, kind="stable")
     take = pa.array(who[order])
-    return {"key": pa.array(key[order]), "i_sig": batch["sig"].take(take), "i_sig2": batch["sig2"].take(take)}
+    return {"key": pa.array(key[order])} | {f"i_{c}": batch[c].take(take) for c in SIGS}
+
+
+def _allocations(row0, value0, size0, counts, in_band, deletions: bool):
+    """Per band probed: (texts, band, need, segments..., steps taken per segment, cost of all steps taken)."""
+    own = _band(size0)
+    lowest = _band(np.maximum(_most(size0), MIN_WORDS))
+    freq = np.maximum(counts[(value0 >> U(64 - SKETCH_BITS)).astype(np.int64)], 1) / max(in_band.sum(), 1)
+    for down in range(int((own - lowest).max()) + 1 if len(own) else 0):
+        sel = np.flatnonzero(own - down >= lowest)
+        pos = np.full(len(size0), -1)
+        pos[sel] = np.arange(len(sel))
+        keep = pos[row0] >= 0
+        row, value, p = pos[row0[keep]], value0[keep], np.minimum(freq[keep], 1.0)
+        size, band = size0[sel], own[sel] - down
+        owner, number, slot, h, total = _segments(row, value, size, band, deletions)
+        need = size + np.minimum(size, BANDS[band + 1] - 1) - 2 * _most(size) + 1
+        # expected texts met: all tokens of a segment present; of a deletion, all but one
+        logp = np.zeros(len(owner))
+        np.add.at(logp, slot, np.log(p))
+        met = in_band[band[owner]] * np.exp(logp)
+        cost, who = met + KEY_COST, owner
+        if deletions:
+            fewer = np.zeros(len(owner))
+            np.add.at(fewer, slot, in_band[band[row]] * np.exp(logp[slot] - np.log(p)))
+            n_tok = np.bincount(slot, minlength=len(owner))
+            second = np.maximum(fewer + met + KEY_COST * (n_tok + 1), cost * 1.0001)
+            cost, who = np.concatenate([cost, second]), np.concatenate([owner, owner])
+        order = np.lexsort((cost, who))
+        rank = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+        taken = order[rank < need[who[order]]]
+        steps = np.bincount(taken % max(len(owner), 1), minlength=len(owner))
+        yield sel, row, band, owner, number, slot, h, total, steps, float(cost[taken].sum())
+
+
+def _estimate(counts, in_band):
+    """Partition -> one row: expected cost with and without deletion neighbourhoods."""
+
+    def fn(batches):
+        sums = {True: 0.0, False: 0.0}
+        for batch in batches:
+            if batch.num_rows:
+                row, value, size = _unpack(_tokens(batch)["tokens"])
+                for deletions in sums:
+                    index_rows = SEGMENTS[deletions] * size.sum() + deletions * len(value)
+                    sums[deletions] += KEY_COST * index_rows + sum(x[-1] for x in _allocations(row, value, size, counts.value, in_band, deletions))
+        yield pa.RecordBatch.from_pydict({"on": pa.array([sums[True]]), "off": pa.array([sums[False]])})
+
+    return fn
 
 
-def _probe(counts, texts_in_all: int, bits: int):
+def _probe(counts, in_band, bits: int, deletions: bool):
     def fn(batch):
         row0, value0, size0 = _unpack(batch["tokens"])
-        own = _band(size0)
-        lowest = _band(np.maximum(_most(size0), MIN_WORDS))
-        freq = np.maximum(counts.value[(value0 >> U(64 - SKETCH_BITS)).astype(np.int64)], 1) / max(texts_in_all, 1)
-        for down in range(int((own - lowest).max()) + 1 if len(own) else 0):
-            sel = np.flatnonzero(own - down >= lowest)
-            pos = np.full(len(size0), -1)
-            pos[sel] = np.arange(len(sel))
-            keep = pos[row0] >= 0
-            row, value, p = pos[row0[keep]], value0[keep], np.minimum(freq[keep], 1.0)
-            size, band = size0[sel], own[sel] - down
-            owner, number, slot, h, total = _segments(row, value, size, band)
-            need = size + np.minimum(size, BANDS[band + 1] - 1) - 2 * _most(size) + 1
-            # expected texts met: all tokens of a segment present; of a deletion, all but one
-            logp = np.zeros(len(owner))
-            np.add.at(logp, slot, np.log(p))
-            met = texts_in_all * np.exp(logp)
-            fewer = np.zeros(len(owner))
-            np.add.at(fewer, slot, texts_in_all * np.exp(logp[slot] - np.log(p)))
-            n_tok = np.bincount(slot, minlength=len(owner))
-            cost0 = met + KEY_COST
-            cost1 = np.maximum(fewer + met + KEY_COST * (n_tok + 1), cost0 * 1.0001)
-            who = np.concatenate([owner, owner])
-            order = np.lexsort((np.concatenate([cost0, cost1]), who))
-            rank = np.arange(len(order)) - np.searchsorted(who[order], who[order])
-            taken = order[rank < need[who[order]]]
-            steps = np.bincount(taken % len(owner), minlength=len(owner)) if len(owner) else np.zeros(0, np.int64)
+        for sel, row, band, owner, number, slot, h, total, steps, _ in _allocations(row0, value0, size0, counts.value, in_band, deletions):
             one, two = np.flatnonzero(steps >= 1), np.flatnonzero(steps == 2)
             tok = np.flatnonzero(steps[slot] == 2)
             key = np.concatenate([
@@ -184,7 +224,7 @@ def _probe(counts, texts_in_all: int, bits: int):
             who = np.concatenate([owner[one], owner[two], row[tok]])
             order = np.argsort(who, kind="stable")
             take = pa.array(sel[who[order]])
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key[order]), "p_sig": batch["sig"].take(take), "p_sig2": batch["sig2"].take(take)})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key[order])} | {f"p_{c}": batch[c].take(take) for c in SIGS})
 
     return fn
 
@@ -217,22 +257,34 @@ def _given(records: DataFrame) -> DataFrame:
     return records.select("rec_id", "text").where("rec_id is not null and text is not null")
 
 
-def class_pairs(records: DataFrame) -> DataFrame:
-    """Distinct near pairs (class_a, class_b, n, longest) of different classes, class_a < class_b."""
+def class_pairs(records: DataFrame, neighbourhoods: bool | None = None) -> DataFrame:
+    """Distinct near pairs (class_a, class_b, n, longest) of different classes, class_a < class_b.
+
+    ``neighbourhoods`` overrides the choice made by cost.
+    """
     records = _given(records)
     sketch = frequency_sketch(records, _all_tokens, SKETCH_BITS)
-    n = int(records.count())
+    in_band = np.zeros(len(BANDS))
+    for band, count in map_arrow(records, _bands_of, "band int").groupBy("band").count().collect():  # a row per size band
+        in_band[band] = count
+    n = int(in_band.sum())
     counts = records.sparkSession.sparkContext.broadcast(sketch)
     lists = map_arrow(records, _lists, "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
-    texts = map_arrow(lists, _signed_lists, "class long, sig long, sig2 long, size int, tokens binary")
+    texts = map_arrow(lists, _signed_lists, "class long, sig long, sig2 long, sig3 long, sig4 long, size int, tokens binary")
     bits = min(int(np.ceil(np.log2(max(n, 1) * 64))), 64)  # a probe key meets about one stranger
-    inputs = texts.select("sig", "sig2", "size", "tokens")
-    index = map_arrow(inputs, lambda b: _index(b, bits), "key long, i_sig long, i_sig2 long")
-    probes = _flat(inputs, _probe(counts, n, bits), "key long, p_sig long, p_sig2 long")
+    inputs = texts.select(*SIGS, "size", "tokens")
+    on, off = records.mapInArrow(_estimate(counts, in_band), "on double, off double").agg(F.sum("on"), F.sum("off")).first()
+    deletions = (on or 0.0) < (off or 0.0) if neighbourhoods is None else neighbourhoods
+    index = map_arrow(inputs, lambda b: _index(b, bits, deletions), "key long, " + ", ".join(f"i_{c} long" for c in SIGS))
+    probes = _flat(inputs, _probe(counts, in_band, bits, deletions), "key long, " + ", ".join(f"p_{c} long" for c in SIGS))
     p_size, i_size = (F.col(f"{s}_sig2").bitwiseAND(F.lit(65535)) for s in "pi")
     most = F.floor((p_size * 3 + 3) / 4)
     parity = F.lit(-65536).cast("long")
-    differ = F.bit_count(F.col("p_sig").bitwiseXOR(F.col("i_sig"))) + F.bit_count(F.col("p_sig2").bitwiseXOR(F.col("i_sig2")).bitwiseAND(parity))
+    xor = {c: F.col(f"p_{c}").bitwiseXOR(F.col(f"i_{c}")) for c in SIGS}
+    xor["sig2"] = xor["sig2"].bitwiseAND(parity)
+    halves = sum(F.bit_count(x) for x in xor.values())
+    folded = F.bit_count(xor["sig"].bitwiseXOR(xor["sig3"])) + F.bit_count(xor["sig2"].bitwiseXOR(xor["sig4"]))
+    differ = F.when(i_size >= LARGE, halves).otherwise(folded)  # the index side is the smaller one
     capped = p_size == 65535  # sizes that don't fit are told apart when verified
     met = probes.join(index, "key").where(capped | ((i_size <= p_size) & (i_size >= most) & (differ <= p_size + i_size - most * 2)))
     met = met.select("p_sig", "i_sig").distinct()
@@ -242,11 +294,11 @@ def class_pairs(records: DataFrame) -> DataFrame:
     return near.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "n", "longest").distinct()
 
 
-def found(records: DataFrame) -> DataFrame:
+def found(records: DataFrame, neighbourhoods: bool | None = None) -> DataFrame:
     """Every near pair (id_a, id_b), id_a < id_b by code point, copies included."""
     records = _given(records)
     member = classes(records)
-    near = class_pairs(records)
+    near = class_pairs(records, neighbourhoods)
     a, b = (member.select(F.col("rec_id").alias(f"r{s}"), F.col("class").alias(f"class_{s}")) for s in "ab")
     apart = near.join(a, "class_a").join(b, "class_b").select("ra", "rb")
     copies = a.join(b, F.col("class_a") == F.col("class_b")).where("ra < rb").select("ra", "rb")
