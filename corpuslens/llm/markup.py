@@ -132,6 +132,26 @@ _BLOCKS = {"p": "\n", "div": "\n", "br": "\n", "hr": "\n", "ul": "\n", "ol": "\n
 _CELLS = {"td": " | ", "th": " | "}
 
 
+_EMPHASIS = [(regex.compile(a), b) for a, b in (
+    (r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1"),
+    (r"!?\[([^\[\]]*)\]\((?:[^()\s]|\([^()\s]*\))*(?:\s+\"[^\"]*\")?\)", r"\1"),
+    (r"\\href\s*\{[^{}]*\}\s*\{([^{}]*)\}", r"\1"),
+    (r"\\(?:text(?:bf|it|tt|sc|rm|sf|sl|normal|md|up)|emph|underline|textsuperscript|textsubscript|mbox|bf|it|em)\s*\{([^{}]*)\}", r"\1"),
+    (r"(?m)^\s*\\(?:sub)*section\*?\s*\{([^{}]*)\}", r"# \1"),
+    (r"(?s)(\*{1,3}|_{2,3})(?=\S)(.+?)(?<=\S)\1", lambda m: m[2] if m[1] != "*" or "\n" not in m[2] else m[0]),
+    (r"(?s)'{2,5}(.+?)'{2,5}", r"\1"),
+    (r"(?s)~~(.+?)~~", r"\1"),
+)]
+_STRUCTURE = [(regex.compile(a), b) for a, b in (
+    (r"(?m)^\s*\\item\b\s*", "- "),
+    (r"\\(?:begin|end)\s*\{(?:itemize|enumerate|center|quote)\}", ""),
+    (r"(?m)^\s*={1,6}\s*(.+?)\s*={1,6}\s*$", r"# \1"),
+)]
+_KEPT = regex.compile("\ue000(\\d+)\ue001")
+_HEADING = regex.compile("h[1-6]")
+_LINES, _BLANKS, _SPACE = regex.compile(r"[^\S\n]*\n\s*"), regex.compile(r"[^\S\n]+"), regex.compile(r"\s+")
+
+
 def _marks(text: str) -> str:
     """Emphasis marks, links and commands of Markdown, wiki and LaTeX, outside formulas and code."""
     kept: list[str] = []
@@ -143,20 +163,13 @@ def _marks(text: str) -> str:
     text = _FORMULA.sub(keep, _FENCE.sub(keep, text))
     for _ in range(5):
         old = text
-        text = regex.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", text)
-        text = regex.sub(r"!?\[([^\[\]]*)\]\((?:[^()\s]|\([^()\s]*\))*(?:\s+\"[^\"]*\")?\)", r"\1", text)
-        text = regex.sub(r"\\href\s*\{[^{}]*\}\s*\{([^{}]*)\}", r"\1", text)
-        text = regex.sub(r"\\(?:text(?:bf|it|tt|sc|rm|sf|sl|normal|md|up)|emph|underline|textsuperscript|textsubscript|mbox|bf|it|em)\s*\{([^{}]*)\}", r"\1", text)
-        text = regex.sub(r"(?m)^\s*\\(?:sub)*section\*?\s*\{([^{}]*)\}", r"# \1", text)
-        text = regex.sub(r"(?s)(\*{1,3}|_{2,3})(?=\S)(.+?)(?<=\S)\1", lambda m: m[2] if m[1] != "*" or "\n" not in m[2] else m[0], text)
-        text = regex.sub(r"(?s)'{2,5}(.+?)'{2,5}", r"\1", text)
-        text = regex.sub(r"(?s)~~(.+?)~~", r"\1", text)
+        for pattern, instead in _EMPHASIS:
+            text = pattern.sub(instead, text)
         if text == old:
             break
-    text = regex.sub(r"(?m)^\s*\\item\b\s*", "- ", text)
-    text = regex.sub(r"\\(?:begin|end)\s*\{(?:itemize|enumerate|center|quote)\}", "", text)
-    text = regex.sub(r"(?m)^\s*={1,6}\s*(.+?)\s*={1,6}\s*$", r"# \1", text)
-    return regex.sub(r"\ue000(\d+)\ue001", lambda m: kept[int(m[1])], text)
+    for pattern, instead in _STRUCTURE:
+        text = pattern.sub(instead, text)
+    return _KEPT.sub(lambda m: kept[int(m[1])], text) if kept else text
 
 
 def clean(fragment: str) -> str:
@@ -171,12 +184,12 @@ def clean(fragment: str) -> str:
             out.append("\n- ")
         elif what == "open" and name in _CELLS:
             out.append(_CELLS[name])
-        elif regex.fullmatch(r"h[1-6]", name):
+        elif _HEADING.fullmatch(name):
             out.append("\n# " if what == "open" else "\n")
         elif name == "code":
             out.append("`")
     text = _marks(decoded("".join(out)))
-    return regex.sub(r"[^\S\n]*\n\s*", "\n", regex.sub(r"[^\S\n]+", " ", text)).strip()
+    return _LINES.sub("\n", _BLANKS.sub(" ", text)).strip()
 
 
 def letters(text: str) -> str:
@@ -220,7 +233,7 @@ def results(source: str | None) -> list[tuple[int, str, str, str]]:
                 item += 1
             taken = True
             for m, after in zip(labels, [*(x.start() for x in labels[1:]), len(inner)]):
-                field = LABELS.get(regex.sub(r"\s+", " ", clean(m[1])).strip().rstrip(":").strip())
+                field = LABELS.get(_SPACE.sub(" ", clean(m[1])).strip().rstrip(":").strip())
                 if field:
                     out.append((item, field, clean(inner[m.end() : after]), path))
         elif kind.split() and kind.split()[0] == "hadith":
