@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .base import frequency_sketch, map_arrow
+from .base import cut, frequency_sketch, map_arrow
+from .components import components
 from .crosssplit import _numbered
 from .leaks import _flat
 
@@ -303,3 +304,22 @@ def found(records: DataFrame, neighbourhoods: bool | None = None) -> DataFrame:
     apart = near.join(a, "class_a").join(b, "class_b").select("ra", "rb")
     copies = a.join(b, F.col("class_a") == F.col("class_b")).where("ra < rb").select("ra", "rb")
     return apart.union(copies).select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b"))
+
+
+def groups(records: DataFrame) -> DataFrame:
+    """One row per text that is long enough: (rec_id, group_id, links).
+
+    Groups are joined by chains of near pairs and copies; ``group_id`` is the least id of the group; ``links`` counts the
+    other texts a text is near to, copies included.
+    """
+    records = _given(records)
+    member = cut(classes(records))
+    near = cut(class_pairs(records).select("class_a", "class_b"))
+    size = member.groupBy("class").agg(F.count("*").alias("n"))
+    both = near.union(near.select("class_b", "class_a"))
+    others = both.join(size, F.col("class_b") == F.col("class")).groupBy("class_a").agg(F.sum("n").alias("others"))
+    root = components(near.toDF("u", "v"))
+    whole = member.join(size, "class").join(others.withColumnRenamed("class_a", "class"), "class", "left").join(root.withColumnRenamed("node", "class"), "class", "left")
+    whole = whole.select("rec_id", F.coalesce("root", "class").alias("root"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    name = whole.groupBy("root").agg(F.min("rec_id").alias("group_id"))
+    return whole.join(name, "root").select("rec_id", "group_id", "links")

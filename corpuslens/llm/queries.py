@@ -134,6 +134,10 @@ def p5_entities(spark: SparkSession, d: str) -> DataFrame:
     return _narrators(spark, d)
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(_bodies(spark, d))
+
+
 QUERIES = {
     "p5_found": p5_found,
     "p5_entities": p5_entities,
@@ -149,6 +153,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_matches": p1_matches,
     "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p8_found": p8_found,

@@ -123,3 +123,34 @@ def test_empty_tables(spark):
     cases = spark.createDataFrame([], "case_id string, text string, split string, relevant array<string>, source string")
     assert crosssplit.found(cases).count() == 0
     assert leaks.leaked_pairs(cases, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_components_and_groups(spark):
+    import random
+
+    from corpuslens.llm import components
+
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+    df = spark.createDataFrame(list(TEXTS.items()), "rec_id string, text string")
+    pairs = [tuple(r) for r in neardup.found(df).collect()]
+    rows = {r["rec_id"]: (r["group_id"], r["links"]) for r in neardup.groups(df).collect()}
+    assert all(rows[a][0] == rows[b][0] for a, b in pairs)
+    assert {k: v[1] for k, v in rows.items()} == {k: sum(k in p for p in pairs) for k in rows}
+    assert rows["d"] == ("d", 0)
+    assert {tuple(r) for r in neardup.found(df, True).collect()} == {tuple(r) for r in neardup.found(df, False).collect()} == set(pairs)
