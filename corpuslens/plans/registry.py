@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions import text as X
-from ..operators import chains, evaluation, families, grades, index, parser, records, search, tree
+from ..operators import chains, diff, evaluation, families, folding, generate, grades, index, parser, provenance, records, search, tree
 from .sql import SQL
 
 BOOK = "wadi"
@@ -257,6 +257,28 @@ def chain_parse_tree(s, d):
     return tree.summary(tree.routes(chain_parse(s, d)))
 
 
+def route_tree_folded(s, d):
+    return folding.folded(_routes(s, d)).select("id", "node", "parent", "depth", "label", "kind", "merge", F.size("variants").alias("variants"), "routes", "linked")
+
+
+def word_diffs(s, d):
+    c = _c(s, d).where("size(relevant) > 0").select(F.col("id").alias("a_id"), F.element_at("relevant", 1).alias("b_id"), F.col("query").alias("a"))
+    return diff.word_differences(c.join(_r(s, d).select(F.col("id").alias("b_id"), F.col("matn").alias("b")), "b_id")).select("a_id", "b_id", F.size("ops").alias("n_ops"), F.to_json("ops").alias("ops"))
+
+
+def partial_cases(s, d):
+    return generate.partial(_r(s, d))
+
+
+def spelling_cases(s, d):
+    return generate.spelling(_r(s, d)).select("id", "clean_query", "query", F.size("typos").alias("typos"))
+
+
+def route_methods(s, d):
+    """How the routes of the table were put together, in words, with how many names stand behind each."""
+    return records.table(s, d, "routes").groupBy("join_kind").agg(F.count("*").alias("names")).select("join_kind", provenance.method_text(F.col("join_kind")).alias("method"), "names")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     normalize_records, token_stats, char_ngram_counts, stems, detect_modes, inverted_index, term_idf, bm25_topk, bm25_book_filter, fuzzy_terms,
     phrase_containment, closest_candidates, search_verify, search_topic, verdict_states, tfidf_weights, families_topk, family_closure, near_copies,
@@ -264,6 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     lookback_join, accusative_fix, isnad_word_tags, chain_quality, route_tree_exact, branch_point, tree_summary, route_filter_shortest,
     name_relations, routes_as_text, route_expand, find_narrator, routes_through, grade_match, grade_partition, grades_cache, grades_to_fetch,
     case_sources, record_cards, chain_parse, chain_parse_tree,
+    route_tree_folded, word_diffs, partial_cases, spelling_cases, route_methods,
 )}
 
 __all__ = ["QUERIES", "SQL", "L"]

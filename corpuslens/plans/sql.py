@@ -160,6 +160,8 @@ SELECT coalesce(t.name, s.name) AS name, coalesce(t.k, 0) AS teachers, coalesce(
     "routes_as_text": f"WITH {ROUTES} SELECT id, route_no, array_to_string(list_reverse(names), ' ← ') AS route_text FROM rts",
     "find_narrator": f"WITH {ROUTES}, x AS (SELECT DISTINCT id, route_no, unnest(names) AS name FROM rts) SELECT name, count(*) AS routes FROM x WHERE contains(name, 'زياد بن نولز') GROUP BY name",
     "routes_through": f"WITH {ROUTES} SELECT id, route_no FROM rts WHERE list_contains(names, 'زياد بن نولز بن سهيم الجصيي')",
+    "partial_cases": f"""WITH {RECS}, w AS (SELECT id, list_filter(string_split(nm, ' '), lambda w: w <> '') AS ws FROM recs)
+SELECT id, array_to_string(ws[(len(ws) // 3) + 1:(len(ws) // 3) + 8], ' ') AS query FROM w WHERE len(ws) >= 20""",
     "grades_cache": f"""WITH {RECS}, {RESULTS}, k AS (SELECT DISTINCT {_key('matn')} AS skey FROM recs), s AS (SELECT {_key('text')} AS skey, result_id FROM res)
 SELECT CASE WHEN skey IN (SELECT skey FROM s WHERE result_id % 2 = 0) THEN 'built' WHEN skey IN (SELECT skey FROM s) THEN 'runtime' ELSE 'missing' END AS origin, count(*) AS n FROM k WHERE skey <> '' GROUP BY ALL""",
     "grades_to_fetch": f"""WITH {RECS}, {RESULTS} SELECT DISTINCT {_key('matn')} AS skey FROM recs WHERE skey <> '' AND skey NOT IN (SELECT {_key('text')} FROM res) ORDER BY skey LIMIT 80""",
