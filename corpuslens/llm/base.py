@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local["):
+        if sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
     if sc.getCheckpointDir() is None:

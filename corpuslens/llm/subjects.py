@@ -31,6 +31,7 @@ BITS = 16
 SIZE = 1 << BITS
 DAMP = 2.0
 UNLABELLED = 0.5
+SHARPNESS = 2.0  # offsets the damping by rarity, which is below 1
 ROUNDS = 3
 LABELLED_BOUND = 200_000  # labelled documents used to fit the calibration, at most
 _ENDS = set(".!?؟؛;:\n\r  ")
@@ -122,10 +123,32 @@ def _mask(col, k: int) -> np.ndarray:
     return (bits[:, None] >> np.arange(k)) & 1
 
 
-def complement_weights(counts: np.ndarray) -> np.ndarray:
+def complement_weights(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     total, per = counts.sum(1, keepdims=True), counts.sum(0, keepdims=True)
     share = 1 - per / max(per.sum(), 1e-9)
-    return np.log((total * share + DAMP) / (total - counts + DAMP)).astype(np.float32)
+    return (rarity[:, None] * np.log((total * share + DAMP) / (total - counts + DAMP))).astype(np.float32)
+
+
+def rarities(docs: DataFrame) -> np.ndarray:
+    """Per bucket ln(n/df) over all documents, relative to the rarest: words of every text weigh little."""
+
+    def count(batches):
+        df, n = np.zeros(SIZE + 1), 0
+        for batch in batches:
+            if batch.num_rows:
+                bucket, sent, owner, _ = _sentences(batch["words"])
+                pair = np.unique(owner[sent].astype(np.int64) * SIZE + bucket)
+                df[:SIZE] += np.bincount(pair % SIZE, minlength=SIZE)
+                n += batch.num_rows
+        df[SIZE] = n
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at.astype(np.int32)), "n": pa.array(df[at])})
+
+    rows = docs.select("words").mapInArrow(count, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(SIZE + 1)
+    df[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    n = max(df[SIZE], 2.0)
+    return np.log(n / np.clip(df[:SIZE], 1.0, n)) / np.log(n)
 
 
 def _counting(k: int, weights):
@@ -196,11 +219,12 @@ def classify(documents: DataFrame, labels: DataFrame, names: list[str], rounds:
     number = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(1 << i))])
     bits = labels.select("doc_id", F.element_at(number, F.col("subject")).alias("bit")).where("doc_id is not null and bit is not null").groupBy("doc_id").agg(F.expr("bit_or(bit)").alias("labels"))
     docs = cut(words.join(bits, "doc_id", "left").withColumn("labels", F.coalesce("labels", F.lit(0)).cast("int")))
+    rarity = rarities(docs)
     counts = _count(docs.where("labels <> 0"), k, None)
     for i in range(rounds):
-        weights = spark.sparkContext.broadcast(complement_weights(counts))
+        weights = spark.sparkContext.broadcast(complement_weights(counts, rarity) * SHARPNESS)
         counts = _count(docs if i else docs.where("labels <> 0"), k, weights)
-    weights = spark.sparkContext.broadcast(complement_weights(counts))
+    weights = spark.sparkContext.broadcast(complement_weights(counts, rarity) * SHARPNESS)
     found = map_arrow(docs, _evidence(k, weights), f"doc_id {kind}, labels int, n double, mass array<double>")
     known = found.where("labels <> 0").select("labels", "n", "mass").limit(LABELLED_BOUND).toPandas()
     curve = np.tile(np.array([3.0, 0.0, -10.0]), (k, 1))
