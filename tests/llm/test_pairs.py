@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.llm import crosssplit, leaks, neardup, spans, vec
+from corpuslens.llm import crosssplit, leaks, linkage, neardup, spans, vec
 
 DATA = "/root/testdata/sf0.001"
 
@@ -154,3 +154,12 @@ def test_components_and_groups(spark):
     assert {k: v[1] for k, v in rows.items()} == {k: sum(k in p for p in pairs) for k in rows}
     assert rows["d"] == ("d", 0)
     assert {tuple(r) for r in neardup.found(df, True).collect()} == {tuple(r) for r in neardup.found(df, False).collect()} == set(pairs)
+
+
+def test_wording_of_a_text_that_fills_a_third(spark):
+    hot = " ".join(W[:34])
+    rows = [(f"h{i}", hot) for i in range(100)] + [(f"o{i}", " ".join(base_words(34, 6 + i))) for i in range(200)]
+    records = spark.createDataFrame(rows, "rec_id string, text string")
+    quotes = spark.createDataFrame([("whole", hot), ("half", " ".join(W[8:28])), ("other", " ".join(V[:20]))], "rec_id string, text string")
+    sizes = {(r.q_size, r.r_size, r.n) for r in linkage.wording(quotes, records).where("n >= q_size / 2").collect()}
+    assert {(34, 34, 34), (20, 34, 20)} <= sizes
