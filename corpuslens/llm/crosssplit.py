@@ -89,8 +89,8 @@ def _prefixes(side: str, counts):
         row, value = _pairs(words)
         place = _ordered(row, value, counts.value, bits)
         size = words.count
-        # least number of shared shingles over all partners: at equal length
-        need = np.maximum(3 * _need(LONG_SHARE, size) - 1 - 2 * size, 1)
+        # least number of shared shingles over all partners: at equal length, or one word longer where n doesn't rise
+        need = np.maximum(np.minimum(3 * _need(LONG_SHARE, size) - 1 - 2 * size, 3 * _need(LONG_SHARE, size + 1) - 2 - 2 * size), 1)
         keep = (size[row] >= LONG_MIN) & (place < (size - 1 - need + 1)[row])
         row, value, place = row[keep], value[keep], place[keep]
         yield pa.RecordBatch.from_pydict({

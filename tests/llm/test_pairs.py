@@ -107,6 +107,15 @@ def test_cross_split(spark):
     assert sum(r["n_cases"] for r in crosssplit.report(df).collect()) == len(rows)
 
 
+def test_cross_split_one_word_longer(spark):
+    a, b, c, d, e, f, g, h, x, y, z = W[:11]
+    rows = [("s", [a, b, c, d, x, e, f, g, h], "dev"), ("t", [a, b, y, c, d, e, f, z, g, h], "test")]
+    rows += [(f"{i}{k}", p, "dev") for i in range(5) for k, p in enumerate(([a, b], [c, d], [e, f], [g, h]))]  # the shared pairs are frequent
+    df = spark.createDataFrame([(i, " ".join(w), s, None, "k") for i, w, s in rows], "case_id string, text string, split string, relevant array<string>, source string")
+    assert crosssplit.lcs(rows[0][1], rows[1][1]) == 8
+    assert [tuple(r) for r in crosssplit.found(df).collect()] == [("s", "t")]
+
+
 @pytest.mark.parametrize("a,b", [([1, 2, 3, 4], [2, 4, 3]), ([], [1]), ([1, 1, 2, 1], [1, 2, 1, 1]), (list(range(100)), list(range(50, 150)))])
 def test_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
