@@ -23,13 +23,18 @@ def weights(recs: DataFrame) -> DataFrame:
     return raw.withColumn("w", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc")))).select("doc", "gram", "w")
 
 
-def neighbours(recs: DataFrame, queries: DataFrame, least: float = L.T_STORED, k: int = L.FAMILY_KEPT) -> DataFrame:
-    """(doc, rank, other, similarity) for the documents of ``queries`` (doc): the k most similar with at least ``least``."""
+def similar(recs: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(doc, other, similarity) for the documents of ``queries`` (doc): all records with at least ``least``."""
     w = weights(recs)
     q = w.join(queries.select("doc").distinct(), "doc", "left_semi").select("doc", "gram", F.col("w").alias("a"))
     r = w.select(F.col("doc").alias("other"), "gram", F.col("w").alias("b"))
     sim = q.join(r, "gram").groupBy("doc", "other").agg(F.sum(F.col("a") * F.col("b")).alias("s")).where((F.col("s") >= least) & (F.col("doc") != F.col("other")))
-    sim = sim.select("doc", "other", F.round("s", 3).alias("similarity"))
+    return sim.select("doc", "other", F.round("s", 3).alias("similarity"))
+
+
+def neighbours(recs: DataFrame, queries: DataFrame, least: float = L.T_STORED, k: int = L.FAMILY_KEPT) -> DataFrame:
+    """(doc, rank, other, similarity) for the documents of ``queries`` (doc): the k most similar with at least ``least``."""
+    sim = similar(recs, queries, least)
     order = Window.partitionBy("doc").orderBy(F.desc("similarity"), "other")
     return sim.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc", "rank", "other", "similarity")
 

@@ -121,8 +121,8 @@ def family_closure(s, d):
 
 
 def near_copies(s, d):
-    """Members of families at 0.9 and more of the query set."""
-    return families.neighbours(_r(s, d), _hundredth(s, d), 0.9).select("doc", "other")
+    """All members of families at 0.9 and more of the query set, however many."""
+    return families.similar(_r(s, d), _hundredth(s, d), 0.9).select("doc", "other")
 
 
 def ir_metrics(s, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuslens import lexicon as L
 from corpuslens.functions import text as X
 from corpuslens.operators import chains, evaluation, families, grades, index, records, search, tree
+from corpuslens.plans import registry
 
 
 def one(spark, value, fn):
@@ -178,3 +179,11 @@ def test_empty_tables(spark, recs, cs):
     assert index.top(cs, none_r).count() == 0 and index.top(none_c, recs).count() == 0 and index.containment(cs, none_r).count() == 0
     assert search.results(none_c, recs).count() == 0 and families.neighbours(none_r, none_r.select(F.col("id").alias("doc"))).count() == 0
     assert evaluation.metrics(evaluation.first_ranks(none_c, index.top(none_c, recs))).count() >= 0
+
+
+def test_near_copies_beyond_the_kept(spark, tmp_path, monkeypatch):
+    text = "انما الاعمال بالنيات وانما لكل امري ما نوي"
+    recs = spark.createDataFrame([(f"r{i}", text, i) for i in range(60)], "id string, nm string, pos long")
+    monkeypatch.setattr(registry, "_r", lambda s, d: recs)
+    got = [tuple(r) for r in registry.near_copies(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(("r0", f"r{i}") for i in range(1, 60))
