@@ -16,13 +16,13 @@ from .base import cut
 def _large(e: DataFrame) -> DataFrame:
     both = e.union(e.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    far = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    far = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return far.union(least.select("u", "m")).where("u <> v").distinct()
 
 

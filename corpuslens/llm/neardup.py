@@ -18,7 +18,8 @@ at most H = L + s - 2*ceil(3L/4) tokens.
 Key rows carry a parity signature of the token set (112 bits, large texts 224) and its size, and keys are as short as
 keeps chance meetings at about one a key.  Signatures of texts that differ in d tokens differ in at
 most d bits, so the join drops nearly all strangers before anything else is fetched.  Survivors are verified token by
-token.  Texts with the same words are one class, handled once; no group's pairs are formed other than true near pairs.
+token, a token being 40 bits of its word's hash.  Every join of tables that grow is a sort-merge join: sizes seen at run
+time are those of compressed shuffle files, and a driver would hold them unpacked.  Texts with the same words are one class, handled once; no group's pairs are formed other than true near pairs.
 
 NULL ids are left out; NULL, empty and short texts are near nothing; rows with the same id count once.
 """
@@ -287,10 +288,12 @@ def class_pairs(records: DataFrame, neighbourhoods: bool | None = None) -> DataF
     folded = F.bit_count(xor["sig"].bitwiseXOR(xor["sig3"])) + F.bit_count(xor["sig2"].bitwiseXOR(xor["sig4"]))
     differ = F.when(i_size >= LARGE, halves).otherwise(folded)  # the index side is the smaller one
     capped = p_size == 65535  # sizes that don't fit are told apart when verified
-    met = probes.join(index, "key").where(capped | ((i_size <= p_size) & (i_size >= most) & (differ <= p_size + i_size - most * 2)))
-    met = met.select("p_sig", "i_sig").distinct()
-    side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("class", "sig", "size", "tokens")])
-    pairs = met.join(side("p"), "p_sig").join(side("i"), "i_sig").where("p_class <> i_class")
+    met = probes.join(index.hint("merge"), "key").where(capped | ((i_size <= p_size) & (i_size >= most) & (differ <= p_size + i_size - most * 2)))
+    # a pair is named by its whole signatures; texts of one family share single words of them
+    whole = lambda s: F.xxhash64(*[F.col(f"{s}{c}") for c in SIGS])
+    met = met.select(whole("p_").alias("p_text"), whole("i_").alias("i_text")).distinct()
+    side = lambda s: texts.select(whole("").alias(f"{s}_text"), *[F.col(c).alias(f"{s}_{c}") for c in ("class", "size", "tokens")])
+    pairs = met.join(side("p").hint("merge"), "p_text").join(side("i").hint("merge"), "i_text").where("p_class <> i_class")
     near = map_arrow(pairs.select("p_class", "i_class", "p_size", "i_size", "p_tokens", "i_tokens"), _verify, "class_a long, class_b long, n long, longest long")
     return near.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "n", "longest").distinct()
 
@@ -301,8 +304,8 @@ def found(records: DataFrame, neighbourhoods: bool | None = None) -> DataFrame:
     member = classes(records)
     near = class_pairs(records, neighbourhoods)
     a, b = (member.select(F.col("rec_id").alias(f"r{s}"), F.col("class").alias(f"class_{s}")) for s in "ab")
-    apart = near.join(a, "class_a").join(b, "class_b").select("ra", "rb")
-    copies = a.join(b, F.col("class_a") == F.col("class_b")).where("ra < rb").select("ra", "rb")
+    apart = near.hint("merge").join(a.hint("merge"), "class_a").join(b.hint("merge"), "class_b").select("ra", "rb")
+    copies = a.hint("merge").join(b.hint("merge"), F.col("class_a") == F.col("class_b")).where("ra < rb").select("ra", "rb")
     return apart.union(copies).select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b"))
 
 
@@ -317,9 +320,11 @@ def groups(records: DataFrame) -> DataFrame:
     near = cut(class_pairs(records).select("class_a", "class_b"))
     size = member.groupBy("class").agg(F.count("*").alias("n"))
     both = near.union(near.select("class_b", "class_a"))
-    others = both.join(size, F.col("class_b") == F.col("class")).groupBy("class_a").agg(F.sum("n").alias("others"))
+    others = both.join(size.hint("merge"), F.col("class_b") == F.col("class")).groupBy("class_a").agg(F.sum("n").alias("others"))
     root = components(near.toDF("u", "v"))
-    whole = member.join(size, "class").join(others.withColumnRenamed("class_a", "class"), "class", "left").join(root.withColumnRenamed("node", "class"), "class", "left")
+    whole = member.join(size.hint("merge"), "class")
+    for about in (others.withColumnRenamed("class_a", "class"), root.withColumnRenamed("node", "class")):
+        whole = whole.join(about.hint("merge"), "class", "left")
     whole = whole.select("rec_id", F.coalesce("root", "class").alias("root"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     name = whole.groupBy("root").agg(F.min("rec_id").alias("group_id"))
-    return whole.join(name, "root").select("rec_id", "group_id", "links")
+    return whole.join(name.hint("merge"), "root").select("rec_id", "group_id", "links")
