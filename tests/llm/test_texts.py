@@ -54,12 +54,43 @@ ANSWER = """<head><link href="x"></head><div class="ad"><a href="u">اشترك</
 <span class="info-subtitle">الراوي :</span> <span>- </span> <span class="info-subtitle">خلاصة حكم المحدث:</span> <ul><li>أول</li><li>ثان</li></ul><pre><code>س ص</code></pre></div>"""
 
 
-def test_fields_of_an_answer():
-    got = {(i, f): v for i, f, v, _ in markup.results(ANSWER)}
-    assert got[1, "text"] == "قال زيد كلمة حكم رابط 5 < 6 \xa0و $\\frac{1}{2}$لون ثقيل(2)".replace("\xa0", "") or markup.letters(got[1, "text"]) == "قالزيدكلمةحكمرابط56وfrac12لونثقيل2"
+def _fields(spark, *sources, **options):
+    df = spark.createDataFrame(list(enumerate(sources, 1)), "key long, source string")
+    return {(r["key"], r["item_no"], r["field_name"]): r["value"] for r in markup.fields(df, **options).collect()}
+
+
+def test_fields_of_an_answer(spark):
+    got = {k[1:]: v for k, v in _fields(spark, ANSWER).items()}
+    assert markup.letters(got[1, "text"]) == "قالزيدكلمةحكمرابط56وfrac12لونثقيل2" and "$\\frac{1}{2}$" in got[1, "text"]
     assert got[1, "muhaddith"] == "فلان" and got[1, "verdict"] == "- أول\n- ثان\n`س ص`" and (1, "book") not in got
 
 
+SHARE = "<div class='hadith-info'><a href='u'>شارك</a> <a href='v'>اطبع</a></div>"
+PAGES = [
+    f"<div class='box'>{SHARE}<div class='hadith'>{i} - {' '.join(['قال زيد إن عمرا قد جاء'] * (i + 1))}</div><div class='ad'><a href='u'>اشترك الآن</a></div>"
+    f"<div class='hadith-info'><span class='info-subtitle'>الراوي:</span> عمرو بن زيد <span class='info-subtitle'>التخريج:</span> غيره"
+    f"<span class='info-subtitle'>المصدر:</span> كتاب <span>الأخبار</span> الكبير<div class='tools'><a href='w'>أبلغ</a></div></div></div>"
+    for i in range(1, 6)
+]
+
+
+def test_nodes_are_chosen_by_path_scores(spark):
+    want = {(i, 1, f): v for i in range(1, 6) for f, v in (("text", " ".join(["قال زيد إن عمرا قد جاء"] * (i + 1))), ("rawi", "عمرو بن زيد"), ("book", "كتاب الأخبار الكبير"))}
+    assert _fields(spark, *PAGES) == want
+    # no class name is known beforehand
+    other = [p.replace("hadith-info", "q7").replace("hadith", "entry").replace("info-subtitle", "k").replace("'ad'", "'z'").replace("tools", "y") for p in PAGES]
+    assert _fields(spark, *other) == want
+    # it is the threshold that keeps advertisements and tools out
+    assert _fields(spark, *PAGES, share_of_mean=0.0) != want
+
+
+def test_nothing_is_cut_short(spark):
+    deep = "&" + "amp;" * 200 + "lt;"
+    nested = "\\emph{" * 40 + "لب" + "}" * 40
+    got = _fields(spark, *PAGES, PAGES[0].replace("عمرو بن زيد", f"عمرو {deep} {nested} بن زيد"))
+    assert got[6, 1, "rawi"] == "عمرو < لب بن زيد"
+
+
 def test_markup_table(spark):
     df = spark.createDataFrame([(1, ANSWER), (2, None), (3, ""), (None, ANSWER), (4, "<p>لا نتائج</p>"), (5, "<div class='hadith'>كسر <b>غير مغلق"), (6, "نص " * 50000)], "key long, source string")
     rows = [tuple(r) for r in markup.fields(df).select("key", "item_no", "field_name", "letters_md5").collect()]
