@@ -67,7 +67,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_matches(spark: SparkSession, d: str) -> DataFrame:
-    m = linkage.confidences(linkage.matches(*_quotes(spark, d)))
+    m = linkage.matches(*_quotes(spark, d))
     return m.select(F.col("rec_id").cast("long").alias("result_id"), F.col("record_id").alias("hadith_id"), "text_dice", "book_dice", "ref_same", "score", "confidence")
 
 

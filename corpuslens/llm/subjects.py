@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .base import cut, map_arrow
+from .curves import fit_logistic
 
 BITS = 16
 SIZE = 1 << BITS
@@ -34,7 +35,6 @@ UNLABELLED = 0.5
 SHARPNESS = 2.0  # offsets the damping by rarity, which is below 1
 ROUNDS = 3
 CURVE = np.array([3.0, 0.0, -10.0])  # about 28 words of a subject, before any label is seen
-STEEPEST = 50.0
 LABELLED_BOUND = 200_000  # labelled documents used to fit the calibration, at most
 _ENDS = set(".!?؟؛;:\n\r  ")
 # Clitics before, and endings after, a stem.
@@ -202,42 +202,6 @@ def features(mass: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(mass), mass / np.maximum(n[..., None], 1), np.ones_like(mass)], -1)
 
 
-def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, pull: float) -> np.ndarray:
-    """A logistic curve pulled towards ``start``, which also is what little data leave.
-
-    Newton steps, each halved until the loss falls (the loss is convex, so this ends at its only minimum); coefficients
-    stay within ``STEEPEST`` of zero.
-    """
-
-    def loss(w):
-        z = x @ w
-        return float(np.sum(np.logaddexp(0, z) - y * z) + pull / 2 * np.sum((w - start) ** 2))
-
-    w, now = start.astype(float), loss(start)
-    for _ in range(100):
-        p = logistic(x, w)
-        g = x.T @ (p - y) + pull * (w - start)
-        h = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
-        step, size = np.linalg.solve(h, g), 1.0
-        while size > 1e-6:
-            new = np.clip(w - size * step, -STEEPEST, STEEPEST)
-            then = loss(new)
-            if then < now:
-                break
-            size /= 2
-        else:
-            break
-        done = now - then < 1e-9 * (1 + abs(now))
-        w, now = new, then
-        if done:
-            break
-    return w
-
-
 def fit_curves(mass: np.ndarray, n: np.ndarray, y: np.ndarray) -> np.ndarray:
     """One curve per subject: all are pulled towards a curve common to all subjects, that one towards ``CURVE``."""
     x, k = features(mass, n), y.shape[1]

@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from corpuslens.llm import confusables, linkage, lookalikes, markup, mixing, nam
 DATA = "/root/testdata/sf0.001"
 
 
+def spark_free_texts():
+    return [t for t in pq.read_table(f"{DATA}/hadiths.parquet")["matn"].to_pylist() if t and len(t.split()) > 8]
+
+
 # --- look-alikes
 @pytest.mark.parametrize(
     "text,plain",
@@ -181,15 +187,63 @@ def test_linkage(spark):
     r = spark.createDataFrame([("a", " ".join(base[:20]), "جامع الوادي", "1", 0), ("b", " ".join(base[20:40]), "جامع الوادي", "7.0", 0), ("c", " ".join(base[20:40]), "سنن السفينة", "7", 0), ("d", " ".join(base[40:60]), "جامع الوادي", "8", 0), ("e", None, None, None, 0), (None, " ".join(base[:20]), None, None, 0)], "rec_id string, text string, book string, ref string, n int")
     got = {(x["rec_id"], x["record_id"]) for x in linkage.matches(q, r).collect()}
     assert got == {("1", "a"), ("2", "b"), ("4", "d")}
-    scored = linkage.confidences(linkage.matches(q, r)).collect()
-    assert all(0 < x["confidence"] < 1 for x in scored) and len(scored) == 3
+    assert all(linkage.SURE <= x["confidence"] <= 1 for x in linkage.matches(q, r).collect())
     assert linkage.matches(q.limit(0), r).count() == 0 and linkage.matches(q, r.limit(0)).count() == 0
 
 
-def test_hamming_search_is_exact(spark):
-    rows = spark.read.parquet(f"{DATA}/hadiths.parquet").select("matn").where("matn is not null").limit(60).toPandas()["matn"].tolist()
-    low, high = linkage.word_vectors(vec.common_words(pa.array(rows)))
-    assert len(low) and all(int(x) < 1 << 48 for x in low) and all(int(x) < 1 << 48 for x in high)
+def test_hamming_search_is_exact():
+    rng = random.Random(3)
+    words = [w for t in spark_free_texts() for w in t.split()]
+    slip = lambda w: w[: (i := rng.randrange(len(w)))] + rng.choice("ابتث") + w[i + rng.randrange(2) :]
+    texts = [" ".join(slip(w) if rng.random() < 0.1 else w for w in rng.choices(words[:40], k=30)) for _ in range(12)]
+    texts += [" ".join(slip(w) if rng.random() < 0.1 else w for w in t.split()) for t in texts]
+    packed = linkage._lists(pa.RecordBatch.from_pydict({"rec_id": [str(i) for i in range(len(texts))], "text": texts}))["words"]
+    row, value, letters = linkage._unpack(packed)
+    counts = np.bincount((value >> np.uint64(64 - linkage.SKETCH_BITS)).astype(np.int64), minlength=1 << linkage.SKETCH_BITS)
+    text, key, rest = linkage.window_rows(row, value, letters, counts)
+    found = {tuple(sorted((int(text[i]), int(text[j])))) for i in range(len(key)) for j in np.flatnonzero(key == key[i]) if text[i] != text[j] and int(rest[i] ^ rest[j]).bit_count() <= linkage.RADIUS}
+    at = linkage._anchors(row, value, counts)
+    window = lambda i: [int(letters[i + k]) if i + k < len(row) and row[i + k] == row[i] else 0 for k in range(1, linkage.CONTEXT + 1)]
+    near = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(window(i), window(j))) <= linkage.RADIUS
+    want = {tuple(sorted((int(row[i]), int(row[j])))) for i in at for j in at if row[i] != row[j] and value[i] == value[j] and near(i, j)}
+    assert found == want
+    # it finds windows with one wrong letter, too
+    of = lambda same: sum(value[i] == value[j] and same(i, j) for i in at for j in at if row[i] < row[j])
+    assert of(near) > 1.1 * of(lambda i, j: window(i) == window(j))
+
+
+def test_every_text_has_windows():
+    value = vec.mix(np.arange(50, dtype=np.uint64) % np.uint64(25))
+    row = np.repeat([0, 1], 25)
+    assert len(linkage._anchors(row, value, np.full(1 << linkage.SKETCH_BITS, 10**9))) == 2 * linkage.ANCHORS
+
+
+def test_confidence_is_calibrated(spark):
+    """Of links in a bin of confidence, about as many are named as the bin's confidence and the naming of right links let expect."""
+    m = queries.p1_matches(spark, "/root/testdata/sf0.1").toPandas()
+    sure, other = m[m.confidence >= 0.9], m[m.confidence < 0.9]
+    assert len(m) > 2400 and len(sure) > 0.85 * len(m) and (other.confidence >= 0.5).all()
+    bare = m[~m.ref_same]
+    assert bare.text_dice.min() > 0.4 and bare[bare.text_dice > 0.8].confidence.min() > 0.9
+    # the best alignment of a link is what the search found: no other record shares more words in order, unless it is named
+    assert m.groupby("result_id").size().max() == 1
+
+
+def test_mixture_tells_right_from_wrong():
+    rng = np.random.default_rng(5)
+    counts, truth = np.zeros((2, 20, 5)), np.zeros((2, 20, 5))
+    for _ in range(4000):
+        right = rng.random() < 0.4
+        t = min(int(rng.beta(*((8, 2) if right else (4, 4))) * 20), 19)
+        naming = rng.choice(5, p=[0.4, 0, 0.1, 0.2, 0.3] if right else [0.96, 0.01, 0.01, 0.01, 0.01])
+        alone = int(rng.random() < (0.6 if right else 0.1))
+        counts[alone, t, naming] += 1
+        truth[alone, t, naming] += right
+    p = linkage.mixture(counts)
+    for low, high in ((0, 0.2), (0.2, 0.5), (0.5, 0.8), (0.8, 1.01)):
+        cells = (p >= low) & (p < high)
+        if counts[cells].sum() > 50:
+            assert abs((p * counts)[cells].sum() - truth[cells].sum()) < 0.12 * counts[cells].sum()
 
 
 @pytest.mark.parametrize("name", ["p1_matches", "p5_entities", "p6_normalized", "p7_clean", "p7_paths", "p9_shares", "p10_makeup"])
