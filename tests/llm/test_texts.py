@@ -197,7 +197,7 @@ def test_hamming_search_is_exact():
     slip = lambda w: w[: (i := rng.randrange(len(w)))] + rng.choice("ابتث") + w[i + rng.randrange(2) :]
     texts = [" ".join(slip(w) if rng.random() < 0.1 else w for w in rng.choices(words[:40], k=30)) for _ in range(12)]
     texts += [" ".join(slip(w) if rng.random() < 0.1 else w for w in t.split()) for t in texts]
-    packed = linkage._lists(pa.RecordBatch.from_pydict({"rec_id": [str(i) for i in range(len(texts))], "text": texts}))["words"]
+    packed = linkage._lists(pa.RecordBatch.from_pydict({"text": texts}))["words"]
     row, value, letters = linkage._unpack(packed)
     counts = np.bincount((value >> np.uint64(64 - linkage.SKETCH_BITS)).astype(np.int64), minlength=1 << linkage.SKETCH_BITS)
     text, key, rest = linkage.window_rows(row, value, letters, counts)
