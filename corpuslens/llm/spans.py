@@ -1,17 +1,22 @@
 """Long exact spans shared between records: relative Lempel-Ziv parsing against a partitioned reference index.
 
-The reference is the whole collection.  Its index holds, for every run of ``min_words`` words that occurs in more than
-one record, two occurrences in different records, so whichever record is being parsed, one of them lies elsewhere.  The
-index is cut into reference blocks by hash of the run; a document position is routed to the one block that can answer
-it, which equals probing every block.  A document is then factored from left to right: a factor starts where a run is
-indexed, and goes on while the next word's run continues at the next place of the same reference; at each factor
-boundary the parse is taken up again at the very next word, so runs across a boundary aren't lost.  The factors' union
-covers exactly the words of the runs that occur elsewhere.
+The reference is the whole collection, cut into blocks by hash of a run of ``min_words`` words.  A block lists, for every
+run of its own that occurs in more than one record, two occurrences in different records, the first and the last in a
+fixed order, so whichever record is being parsed, one of them lies elsewhere.  A document position is routed to the one
+block that can answer it, which equals probing every block.
 
-Neither step gathers a run's occurrences: the index is an aggregate of two (min and max), combined map-side; a run that
-stands in a third of all records costs one index row, and the positions that probe it can be split by AQE.
+A document is then factored greedily from left to right: at a position whose run is indexed, each of its occurrences
+elsewhere is compared with the document word by word and as far as the words are the same; the longest match is the
+factor.  At its boundary the parse is taken up again with the first run that reaches beyond it, so runs across a boundary
+aren't lost, and a run whose words turn out to differ (equal hashes) covers nothing.  The factors' union covers exactly
+the words of the runs that occur elsewhere.
+
+No step gathers a run's occurrences: the index is an aggregate of two (min and max), combined map-side; a run that stands
+in a third of all records costs one index row, and the positions that probe it can be split by AQE.  Only the texts a
+document has a run in common with, at most two for each of its positions, are brought to it.
 
 NULL ids are left out, NULL and empty texts have no words, rows with the same id count once (they cover the same words).
+Words are compared by 40 bits of their hash, so a false run of 12 words needs 480 equal bits.
 """
 
 from __future__ import annotations
@@ -25,40 +30,69 @@ from . import vec
 from .base import map_arrow
 
 MIN_WORDS = 12
+WORD_BYTES = 5
+
+
+def _key(batch) -> np.ndarray:
+    return vec.mix(vec.string_keys(batch["rec_id"]) ^ vec.mix(vec.string_keys(batch["table_name"])))
 
 
-def _runs(k: int, named: bool):
+def _runs(k: int):
     def fn(batch: pa.RecordBatch):
         words = vec.stored_words(batch["text"])
         at, h = vec.windows(words, k)
         row = words.doc[at]
-        pos = (at - words.first[row]).astype(np.int32)
-        rec = vec.mix(vec.string_keys(batch["rec_id"]) ^ vec.mix(vec.string_keys(batch["table_name"])))[row]
-        out = {"run": vec.signed(h), "rec": vec.signed(rec), "pos": pa.array(pos)}
-        if named:
-            out |= {c: batch[c].take(pa.array(row)) for c in ("table_name", "rec_id")}
-        return out
+        return {"run": vec.signed(h), "rec": vec.signed(_key(batch)[row]), "pos": pa.array((at - words.first[row]).astype(np.int32))}
 
     return fn
 
 
-def _factors(k: int):
-    """Rows (table_name, rec_id, hits sorted by pos) -> factors."""
+def _texts(batch):
+    words = vec.stored_words(batch["text"])
+    raw = np.ascontiguousarray((words.hash >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES])
+    lists = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(words.first * WORD_BYTES), pa.py_buffer(raw)]).cast(pa.binary())
+    return {"rec": vec.signed(_key(batch)), "table_name": batch["table_name"], "rec_id": batch["rec_id"], "words": lists}
+
+
+def _word_array(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, WORD_BYTES)
+    return out.view("<u8").ravel()
+
+
+def longest(words: np.ndarray, source: np.ndarray, pos: int, at: int) -> int:
+    """Words that are the same from ``pos`` of one text and ``at`` of another."""
+    n = min(len(words) - pos, len(source) - at)
+    differ = np.flatnonzero(words[pos : pos + n] != source[at : at + n])
+    return int(differ[0]) if len(differ) else n
+
+
+def parse(words: np.ndarray, hits: list[tuple[int, int, int]], sources: dict[int, np.ndarray], k: int) -> list[tuple[int, int, int, int]]:
+    """Factors (first word, last word, source, place in it) of a text whose runs occur elsewhere at ``hits``, sorted by place."""
+    out, i, reach = [], 0, 0
+    while i < len(hits):
+        pos = hits[i][0]
+        best = (0, 0, 0)
+        while i < len(hits) and hits[i][0] == pos:
+            _, rec, at = hits[i]
+            i += 1
+            if pos + k > reach:
+                best = max(best, (longest(words, sources[rec], pos, at), rec, at))
+        if best[0] >= k:
+            reach = pos + best[0]
+            out.append((pos, reach - 1, best[1], best[2]))
+    return out
+
 
+def _factored(k: int):
     def fn(batch: pa.RecordBatch):
-        hits = batch["hits"]
-        flat = hits.flatten()
-        pos, rec, at = (np.asarray(flat.field(i)) for i in range(3))
-        size = np.diff(np.asarray(hits.offsets))
-        row = np.repeat(np.arange(batch.num_rows), size)
-        new = np.ones(len(pos), bool)
-        new[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (rec[1:] != rec[:-1]) | (at[1:] != at[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(pos)) - 1
-        take = pa.array(row[first])
-        return {"table_name": batch["table_name"].take(take), "rec_id": batch["rec_id"].take(take),
-                "first_word": pa.array(pos[first].astype(np.int32)), "last_word": pa.array((pos[last] + k - 1).astype(np.int32)),
-                "source_rec": pa.array(rec[first]), "source_word": pa.array(at[first].astype(np.int32))}
+        rows = []
+        for name, rec_id, raw, hits, texts in zip(*(batch[c].to_pylist() for c in ("table_name", "rec_id", "words", "hits", "sources"))):
+            sources = {t["s"]: _word_array(t["words"]) for t in texts}
+            rows += [(name, rec_id, *f) for f in parse(_word_array(raw), [(h["pos"], h["s"], h["at"]) for h in hits], sources, k)]
+        cols = list(zip(*rows)) or [[]] * 6
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+        return {c: pa.array(list(v), t) for c, v, t in zip(("table_name", "rec_id", "first_word", "last_word", "source_rec", "source_word"), cols, kinds)}
 
     return fn
 
@@ -67,18 +101,16 @@ def factors(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Factors (table_name, rec_id, first_word, last_word, source_rec, source_word) of records (table_name, rec_id, text)."""
     records = records.select("table_name", "rec_id", "text").where("rec_id is not null and text is not null")
     here = F.struct("rec", "pos")
-    index = (
-        map_arrow(records, _runs(min_words, False), "run long, rec long, pos int")
-        .groupBy("run").agg(F.min(here).alias("a"), F.max(here).alias("b"))
-        .where("a.rec <> b.rec")
-    )
-    probes = map_arrow(records, _runs(min_words, True), "run long, rec long, pos int, table_name string, rec_id string")
-    other = F.when(F.col("a.rec") != F.col("rec"), F.col("a")).otherwise(F.col("b"))
-    hits = (
-        probes.join(index, "run").select("table_name", "rec_id", F.struct("pos", other["rec"].alias("s"), other["pos"].alias("at")).alias("hit"))
-        .groupBy("table_name", "rec_id").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
-    )
-    return map_arrow(hits, _factors(min_words), "table_name string, rec_id string, first_word int, last_word int, source_rec long, source_word int")
+    runs = map_arrow(records, _runs(min_words), "run long, rec long, pos int")
+    index = runs.groupBy("run").agg(F.min(here).alias("a"), F.max(here).alias("b")).where("a.rec <> b.rec")
+    places = F.array(*[F.when(F.col(f"{x}.rec") != F.col("rec"), F.struct("pos", F.col(f"{x}.rec").alias("s"), F.col(f"{x}.pos").alias("at"))) for x in "ab"])
+    met = runs.join(index.hint("merge"), "run").select("rec", F.explode(F.array_compact(places)).alias("hit"))
+    hits = met.groupBy("rec").agg(F.sort_array(F.collect_set("hit")).alias("hits"))  # two for each position of a text
+    texts = map_arrow(records, _texts, "rec long, table_name string, rec_id string, words binary").groupBy("rec").agg(*[F.first(c).alias(c) for c in ("table_name", "rec_id", "words")])
+    needed = hits.select("rec", F.explode(F.array_distinct("hits.s")).alias("s"))
+    brought = needed.join(texts.select(F.col("rec").alias("s"), "words").hint("merge"), "s").groupBy("rec").agg(F.collect_list(F.struct("s", "words")).alias("sources"))
+    whole = hits.join(brought.hint("merge"), "rec").join(texts.hint("merge"), "rec").select("table_name", "rec_id", "words", "hits", "sources")
+    return map_arrow(whole, _factored(min_words), "table_name string, rec_id string, first_word int, last_word int, source_rec long, source_word int")
 
 
 def _merged(batch: pa.RecordBatch):

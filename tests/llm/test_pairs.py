@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,25 @@ def test_shared_spans(spark):
     assert cov["c"] == 1.0 and cov["f"] == 0.0
 
 
+def test_factors_are_longest_matches(spark):
+    a, b, c = W[:40], V[:10] + W[5:30] + V[10:20], W[12:40] + V[:12]
+    texts = {"a": a, "b": b, "c": c, "d": V[20:45], "e": W[:14] + V[30:45]}
+    df = spark.createDataFrame([("t", k, " ".join(t)) for k, t in texts.items()], "table_name string, rec_id string, text string")
+    found = spans.factors(df, 12).collect()
+    key = {int(x): k for k, x in zip(texts, spans._key(pa.RecordBatch.from_pydict({"table_name": ["t"] * 5, "rec_id": list(texts)})).view("int64"))}
+    assert {r["rec_id"] for r in found} == set(texts)
+    for r in found:
+        text, source = texts[r["rec_id"]], texts[key[r["source_rec"]]]
+        i, j, at = r["first_word"], r["last_word"] + 1, r["source_word"]
+        assert source is not text and text[i:j] == source[at : at + j - i] and j - i >= 12
+        assert j == len(text) or at + j - i == len(source) or text[j] != source[at + j - i]
+    # of two references, the one that matches further is taken
+    words, short, far = np.arange(30), np.arange(13), np.concatenate([[99], np.arange(25)])
+    assert spans.parse(words, [(0, 1, 0), (0, 2, 1)], {1: short, 2: far}, 12) == [(0, 24, 2, 1)]
+    # the parse is taken up again at a factor's boundary, and equal hashes of other words cover nothing
+    assert spans.parse(words, [(0, 1, 0), (1, 2, 2), (2, 2, 3), (15, 3, 0)], {1: short, 2: far, 3: np.arange(50, 80)}, 12) == [(0, 12, 1, 0), (2, 24, 2, 3)]
+
+
 def test_leaks(spark):
     tests = spark.createDataFrame([("t1", " ".join(W[:20])), ("t2", " ".join(W[:20])), ("t3", " ".join(V[:7])), (None, TEXTS["a"]), ("t4", None)], "case_id string, text string")
     docs = spark.createDataFrame([(1, " ".join(V[30:40] + W[3:11] + V[:3]), "x"), (2, " ".join(W[3:10]), "x"), (3, None, "x"), (4, " ".join(W[0:4] + [V[9]] + W[5:12]), "x"), (5, LONG, "x"), (None, LONG, "x")], "doc_id long, text string, source string")
