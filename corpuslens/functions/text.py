@@ -90,9 +90,11 @@ def first_words(normalized: Column, n: int) -> Column:
 
 
 def canonical(name: Column) -> Column:
-    """Teknonym in one case unless a son-of follows, inner son-of in its short form."""
-    out = F.regexp_replace(normalize(name, False), "^(?:ابي|ابا)(?= (?!بن |ابن ))", "ابو")
-    return F.regexp_replace(out, "(?<=\\S) ابن(?= )", " بن")
+    """One spelling for "father of" and "son of", and nothing behind the name."""
+    out = normalize(name, False)
+    for pattern, instead in L.CANONICAL:
+        out = F.regexp_replace(out, pattern, instead)
+    return out
 
 
 def sample_key(*parts: Column) -> Column:

@@ -38,3 +38,10 @@ FLOORS = {
     "partial": {"recall_at_1": 0.966, "recall_at_10": 0.966, "mrr": 0.966},
     "spelling": {"recall_at_1": 0.722, "recall_at_3": 1.0, "mrr": 0.852},
 }
+
+# Rewritings of a name's spelling: "father of" in any case (but for the name Ubayy), "son of" inside a name, and what is no part of its end.
+CANONICAL = (
+    (r"^(?:ابي|ابا) (?!(?:بن|ابن)(?: |$))", "ابو "),
+    (r"(?<= )ابن(?= |$)", "بن"),
+    (r"(?:(?:^| )(?:قال|قالت|يقول|انه|ان|في|من|و))+$", ""),
+)

@@ -27,8 +27,9 @@ def test_folded_tree(spark):
 
 
 @pytest.mark.parametrize("word,n,want", [("ذهب", 0, ("زهب", "other_letter")), ("كتاب", 1, ("كاتب", "swap_letters")), ("مكتبهم", 1, ("مكتهم", "drop_letter")), ("من", 1, (None, None)), ("عمل", 2, (None, None))])
-def test_typo(word, n, want):
-    assert generate.typo(word, n) == want
+def test_typo(spark, word, n, want):
+    e = spark.range(1).select(generate.typo(generate.errors(F.lit(word)), F.lit(n)).alias("e")).first()["e"]
+    assert ((e["became"], e["rule"]) if e else (None, None)) == want
 
 
 def test_generated_cases(spark):
