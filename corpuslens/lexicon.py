@@ -45,3 +45,5 @@ CANONICAL = (
     (r"(?<= )ابن(?= |$)", "بن"),
     (r"(?:(?:^| )(?:قال|قالت|يقول|انه|ان|في|من|و))+$", ""),
 )
+# Grades that are withheld from a record's card, by the words they hold.
+WITHHELD = ("موضوع", "متواتر")

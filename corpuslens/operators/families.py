@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from .. import lexicon as L
 from ..functions import text as X
+from .records import kept
 
 
 def weights(recs: DataFrame) -> DataFrame:
@@ -24,11 +25,22 @@ def weights(recs: DataFrame) -> DataFrame:
 
 
 def similar(recs: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """(doc, other, similarity) for the documents of ``queries`` (doc): all records with at least ``least``."""
-    w = weights(recs)
+    """(doc, other, similarity) for the documents of ``queries`` (doc): all records with at least ``least``.
+
+    A document's lightest grams, those of every other record, are set apart as long as their own length stays below
+    ``least``: by themselves they can't reach it with anything.  Only the others are joined with all records; of the
+    records met, those are kept whose sum and the length of the rest may reach ``least``, and the rest is added for these.
+    """
+    w = kept(weights(recs))
     q = w.join(queries.select("doc").distinct(), "doc", "left_semi").select("doc", "gram", F.col("w").alias("a"))
+    upward = Window.partitionBy("doc").orderBy("a", "gram").rowsBetween(Window.unboundedPreceding, 0)
+    q = q.withColumn("light", F.sum(F.col("a") * F.col("a")).over(upward) < least * least * (1 - 1e-9))
+    rest = q.where("light").groupBy("doc").agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("length"))
     r = w.select(F.col("doc").alias("other"), "gram", F.col("w").alias("b"))
-    sim = q.join(r, "gram").groupBy("doc", "other").agg(F.sum(F.col("a") * F.col("b")).alias("s")).where((F.col("s") >= least) & (F.col("doc") != F.col("other")))
+    met = q.where("not light").join(r, "gram").where("doc <> other").groupBy("doc", "other").agg(F.sum(F.col("a") * F.col("b")).alias("heavy"))
+    able = met.join(rest, "doc", "left").where(F.col("heavy") + F.coalesce("length", F.lit(0.0)) >= least - 1e-9).select("doc", "other", "heavy")
+    added = able.join(q.where("light").select("doc", "gram", "a"), "doc").join(r, ["other", "gram"]).groupBy("doc", "other").agg(F.sum(F.col("a") * F.col("b")).alias("more"))
+    sim = able.join(added, ["doc", "other"], "left").withColumn("s", F.col("heavy") + F.coalesce("more", F.lit(0.0))).where(F.col("s") >= least)
     return sim.select("doc", "other", F.round("s", 3).alias("similarity"))
 
 

@@ -33,9 +33,14 @@ def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def reference_number() -> F.Column:
+    """The first number of a reference, whichever digits it is written with."""
+    return X.first_number(F.translate("ref", "٠١٢٣٤٥٦٧٨٩", "0123456789"))
+
+
 def candidates(recs: DataFrame, results: DataFrame) -> DataFrame:
     """(id, result_id): records and results that share the first nine words, or the book and number."""
-    r = results.where("verdict <> '' and muhaddith <> ''").select("result_id", query_key(F.col("text")).alias("skey"), X.normalize(F.col("book")).alias("b"), X.first_number(F.translate("ref", "٠١٢٣٤٥٦٧٨٩", "0123456789")).alias("no"))
+    r = results.where("verdict <> '' and muhaddith <> ''").select("result_id", query_key(F.col("text")).alias("skey"), X.normalize(F.col("book")).alias("b"), reference_number().alias("no"))
     h = recs.select("id", query_key(F.col("matn")).alias("skey"), X.normalize(F.col("book_title")).alias("b"), X.plain_number(F.col("hadith_number")).alias("no"))
     by_key = h.where("skey <> ''").select("id", "skey").join(r.select("result_id", "skey"), "skey").select("id", "result_id")
     by_no = h.where("b <> '' and no <> ''").select("id", "b", "no").join(r.select("result_id", "b", "no"), ["b", "no"]).select("id", "result_id")
@@ -44,7 +49,7 @@ def candidates(recs: DataFrame, results: DataFrame) -> DataFrame:
 
 def matches(recs: DataFrame, results: DataFrame) -> DataFrame:
     """(id, rank, result_id, kind, confidence, similarity): at most twelve attributions per record."""
-    r = results.select("result_id", X.normalize(F.col("text")).alias("rt"), X.normalize(F.col("book")).alias("rb"), X.first_number(F.col("ref")).alias("rno"))
+    r = results.select("result_id", X.normalize(F.col("text")).alias("rt"), X.normalize(F.col("book")).alias("rb"), reference_number().alias("rno"))
     h = recs.select("id", "nm", X.normalize(F.col("book_title")).alias("hb"), X.plain_number(F.col("hadith_number")).alias("hno"))
     both = candidates(recs, results).join(r, "result_id").join(h, "id").withColumn("similarity", text_similarity("nm", "rt")).where(F.col("similarity") >= L.T_CANDIDATE)
     own = (F.col("rb") == F.col("hb")) & (F.col("rb") != "")

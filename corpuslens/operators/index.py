@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import lexicon as L
 from ..functions import text as X
+from .records import kept
 
 
 def postings(recs: DataFrame) -> DataFrame:
@@ -15,6 +20,11 @@ def postings(recs: DataFrame) -> DataFrame:
     return recs.select(F.col("id").alias("doc"), F.explode(X.tokens(F.col("nm"))).alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
 
 
+def stored(recs: DataFrame) -> DataFrame:
+    """Postings made once for all steps of a search that read them."""
+    return kept(postings(recs))
+
+
 def doc_lengths(recs: DataFrame) -> DataFrame:
     return recs.select(F.col("id").alias("doc"), F.size(X.tokens(F.col("nm"))).cast("long").alias("dl"))
 
@@ -40,7 +50,7 @@ def scores(q: DataFrame, recs: DataFrame) -> DataFrame:
 
     Everything a document adds per term is worked out on the postings once; the join with the queries is on the term.
     """
-    post, lengths = postings(recs), doc_lengths(recs)
+    post, lengths = stored(recs), doc_lengths(recs)
     st = stats(lengths)
     k1, b = L.BM25_K1, L.BM25_B
     part = post.join(terms(post, st), "term").join(lengths, "doc").crossJoin(F.broadcast(st)).select(
@@ -71,7 +81,7 @@ def grams(w) -> F.Column:
 
 def expansions(cs: DataFrame, recs: DataFrame) -> DataFrame:
     """(term, alternative, weight, rank): close spellings of query terms that no record has."""
-    vocabulary = postings(recs).select("term").distinct()
+    vocabulary = stored(recs).select("term").distinct()
     unknown = query_terms(cs).select("term").distinct().join(vocabulary, "term", "left_anti")
     g = lambda df, name: df.select(F.col("term").alias(name), F.explode(grams(F.col("term"))).alias("gram"), F.size(grams(F.col("term"))).alias(f"n_{name}"))
     shared = g(unknown, "term").join(g(vocabulary, "alternative"), "gram").groupBy("term", "alternative").agg(F.count("*").alias("common"), F.first("n_term").alias("a"), F.first("n_alternative").alias("b"))
@@ -110,10 +120,25 @@ def containment(cs: DataFrame, recs: DataFrame) -> DataFrame:
     return found.where(inside).select("query", "doc")
 
 
+@F.pandas_udf(T.IntegerType())
+def in_order(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Words of two normalised texts in matching blocks."""
+    return pd.Series([sum(m.size for m in difflib.SequenceMatcher(None, x.split(), y.split(), autojunk=False).get_matching_blocks()) for x, y in zip(a, b)], dtype="int32")
+
+
 def closest(cs: DataFrame, recs: DataFrame, k: int = 3) -> DataFrame:
-    """(query, rank, doc, common): records with at least half of a query's distinct words, the k with most."""
-    q = cs.select(F.col("id").alias("query"), F.array_distinct(X.words(F.col("qn"))).alias("ws")).select("query", F.size("ws").alias("n"), F.explode("ws").alias("word"))
-    has = recs.select(F.col("id").alias("doc"), F.explode(F.array_distinct(X.words(F.col("nm")))).alias("word"))
-    shared = q.join(has, "word").groupBy("query", "doc").agg(F.count("*").alias("common"), F.first("n").alias("n")).where("common >= greatest(1, floor(n / 2))")
-    w = Window.partitionBy("query").orderBy(F.desc("common"), "doc")
-    return shared.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "doc", "common")
+    """(query, rank, doc, share, common): of the records with at least half of a query's distinct words, the k that match most of it in order.
+
+    Ties go to more common words, then to the smaller id.  A record with that many of the words has one of the query's
+    rarest ones (all but as many as it may lack), so only those are joined; frequent words meet nothing.
+    """
+    words = recs.select(F.col("id").alias("doc"), F.explode(F.array_distinct(X.words(F.col("nm")))).alias("word"))
+    rarity = words.groupBy("word").agg(F.count("*").alias("df"))
+    q = cs.select(F.col("id").alias("query"), "qn", F.array_distinct(X.words(F.col("qn"))).alias("ws")).where(F.size("ws") > 0).withColumn("need", F.greatest(F.lit(1), F.floor(F.size("ws") / 2)))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("df", "word"))
+    rare = q.select("query", F.size("ws").alias("n"), "need", F.explode("ws").alias("word")).join(rarity, "word", "left").withColumn("place", place).where("place <= n - need + 1 and df is not null")
+    met = rare.select("query", "word").join(words, "word").select("query", "doc").distinct()
+    both = met.join(q, "query").join(recs.select(F.col("id").alias("doc"), "nm"), "doc").withColumn("common", F.size(F.array_intersect("ws", X.words(F.col("nm"))))).where("common >= need")
+    scored = both.withColumn("share", in_order("qn", "nm") / F.size(X.words(F.col("qn"))))
+    w = Window.partitionBy("query").orderBy(F.desc("share"), F.desc("common"), "doc")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "doc", F.round("share", 2).alias("share"), "common")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +11,11 @@ from .. import lexicon as L
 from ..functions import text as X
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Marks a table that one plan reads several times: it is made once, spills to disk, and is made again where an executor is lost."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 

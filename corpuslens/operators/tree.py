@@ -85,3 +85,62 @@ def find(rts: DataFrame, wanted: str) -> DataFrame:
 def through(rts: DataFrame, wanted: str) -> DataFrame:
     """(id, route_no): routes through one name."""
     return rts.where(F.array_contains("names", X.fold(F.lit(wanted)))).select("id", "route_no")
+
+
+def of_families(family: DataFrame, rts: DataFrame, recs: DataFrame) -> DataFrame:
+    """(doc, id, book, route_no, names, linked): routes of all members (doc, member) of a document's family."""
+    of = recs.select(F.col("id").alias("member"), "book")
+    return family.select("doc", "member").distinct().join(of, "member").join(rts.withColumnRenamed("id", "member"), "member").select("doc", F.col("member").alias("id"), "book", "route_no", "names", "linked")
+
+
+def whole(family_routes: DataFrame) -> DataFrame:
+    """Routes that enter a tree: those that reach the root, or have two names or more."""
+    return family_routes.where((F.size("names") > 1) | ((F.size("names") == 1) & F.col("linked")))
+
+
+def incomplete(family_routes: DataFrame) -> DataFrame:
+    """(doc, id, route_no, names): routes of one name that don't reach the root; they enter no tree."""
+    return family_routes.where((F.size("names") == 1) & ~F.col("linked")).select("doc", "id", "route_no", F.array_join("names", " > ").alias("names"))
+
+
+def family_nodes(family_routes: DataFrame) -> DataFrame:
+    """(doc, depth, path, parent, label, kind, routes, records, books, linked): one tree per family, its books as leaves.
+
+    The first name after the root is a companion; a route ends in the book of its record.  Each node counts the distinct
+    routes, records and books that pass through it.
+    """
+    ends = whole(family_routes).withColumn("steps", F.concat("names", F.array(F.concat(F.lit("book:"), "book"))))
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("steps")), lambda k: F.array_join(F.slice("steps", 1, k), " > "))).alias("p", "path")
+    long = ends.select("doc", "id", "route_no", "book", "linked", "steps", at)
+    kind = F.when(F.col("p") == F.size("steps") - 1, "book").when(F.col("p") == 0, "companion").otherwise("narrator")
+    long = long.select("doc", "id", "route_no", "book", "linked", (F.col("p") + 1).alias("depth"), "path", F.array_join(F.slice("steps", 1, F.col("p")), " > ").alias("parent"), F.element_at("steps", F.col("p") + 1).alias("label"), kind.alias("kind"))
+    return long.groupBy("doc", "depth", "path", "parent", "label", "kind").agg(
+        F.countDistinct("id", "route_no").alias("routes"), F.countDistinct("id").alias("records"), F.countDistinct("book").alias("books"), F.max("linked").alias("linked"))
+
+
+def family_branch_points(nd: DataFrame) -> DataFrame:
+    """(doc, path, label, routes, branches): of each family of several routes the node with most routes x (branches - 1); books aren't nodes to branch at."""
+    children = nd.where("depth > 1").groupBy("doc", F.col("parent").alias("path")).agg(F.count("*").alias("branches"))
+    found = nd.where("kind <> 'book'").join(children.where("branches >= 2"), ["doc", "path"]).withColumn("weight", F.col("routes") * (F.col("branches") - 1))
+    w = Window.partitionBy("doc").orderBy(F.desc("weight"), "depth", "path")
+    return found.withColumn("r", F.row_number().over(w)).where("r = 1").select("doc", "path", "label", "routes", "branches")
+
+
+def family_summary(family_routes: DataFrame) -> DataFrame:
+    """(doc, routes, narrations, companions, books, incomplete, top_companion): companions are first names of linked routes of two names or more."""
+    ok = (F.size("names") > 1) | ((F.size("names") == 1) & F.col("linked"))
+    key = F.struct("id", "route_no")
+    companion = F.when(F.col("linked") & (F.size("names") > 1), F.element_at("names", 1))
+    per = family_routes.where(ok).groupBy("doc", companion.alias("companion")).agg(F.countDistinct("id", "route_no").alias("n")).where("companion is not null")
+    top = per.groupBy("doc").agg(F.min_by("companion", F.struct(-F.col("n"), "companion")).alias("top_companion"))
+    base = family_routes.groupBy("doc").agg(
+        F.count_distinct(F.when(ok, key)).alias("routes"), F.count_distinct(F.when(ok, F.col("id"))).alias("narrations"), F.count_distinct(F.when(ok, companion)).alias("companions"),
+        F.count_distinct(F.when(ok, F.col("book"))).alias("books"), F.count_distinct(F.when(~ok & (F.size("names") > 0), key)).alias("incomplete"))
+    return base.join(top, "doc", "left")
+
+
+def compared(rts: DataFrame) -> DataFrame:
+    """(id, route_a, route_b, shared, only_a, only_b): two routes of a record, name by name; a record has at most ``MAX_ROUTES``."""
+    side = lambda s: rts.where(F.size("names") > 0).select("id", F.col("route_no").alias(f"route_{s}"), F.array_distinct("names").alias(s))
+    both = side("a").join(side("b"), "id").where("route_a < route_b")
+    return both.select("id", "route_a", "route_b", F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_except("a", "b")).alias("only_a"), F.size(F.array_except("b", "a")).alias("only_b"))

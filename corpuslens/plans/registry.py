@@ -133,6 +133,20 @@ def threshold_report(s, d):
     return evaluation.threshold_report(ir_metrics(s, d))
 
 
+def search_metrics(s, d):
+    """Retrieval metrics of the aligned search."""
+    return evaluation.metrics(evaluation.first_ranks(_c(s, d), search_verify(s, d)))
+
+
+def verdict_metrics(s, d):
+    found = search_verify(s, d)
+    return evaluation.verdict_metrics(evaluation.first_ranks(_c(s, d), found), search.verdicts(_c(s, d), found))
+
+
+def search_threshold_report(s, d):
+    return evaluation.threshold_report(search_metrics(s, d), verdict_metrics(s, d))
+
+
 def case_counts(s, d):
     return evaluation.case_counts(_c(s, d))
 
@@ -165,6 +179,22 @@ def lookback_join(s, d):
     return chains.look_back(_r(s, d), _routes(s, d))
 
 
+def completed_chains(s, d):
+    """All routes, those of records that name the chain of the one before completed from it."""
+    r = _r(s, d)
+    done = chains.completed(r, _routes(s, d), parser.facts(r).where("same_chain").select("id"))
+    return done.select("id", "route_no", F.array_join("names", " > ").alias("names"), "prior", "linked")
+
+
+def corrected_names(s, d):
+    return chains.corrected(records.table(s, d, "routes"), accusative_fix(s, d))
+
+
+def sentence_facts(s, d):
+    """What each record's sentence holds beside its routes."""
+    return parser.facts(_r(s, d)).select("id", "routes", F.to_json("fragments").alias("fragments"), "switch", "same_chain", "repaired", "to_prophet", F.array_join("chain", " > ").alias("chain"), "chain_partial")
+
+
 def accusative_fix(s, d):
     return chains.accusative(chains.name_words(records.table(s, d, "routes")))
 
@@ -189,6 +219,31 @@ def tree_summary(s, d):
     return tree.summary(_routes(s, d))
 
 
+def _family_routes(s, d):
+    return records.kept(tree.of_families(family_closure(s, d), _routes(s, d), _r(s, d)))
+
+
+def family_tree(s, d):
+    """Trees of the families of every record whose position is divisible by 100."""
+    return tree.family_nodes(_family_routes(s, d))
+
+
+def family_branch_point(s, d):
+    return tree.family_branch_points(family_tree(s, d))
+
+
+def family_summary(s, d):
+    return tree.family_summary(_family_routes(s, d))
+
+
+def incomplete_routes(s, d):
+    return tree.incomplete(_family_routes(s, d))
+
+
+def routes_compared(s, d):
+    return tree.compared(_routes(s, d))
+
+
 def route_filter_shortest(s, d):
     return tree.shortest(_routes(s, d))
 
@@ -235,17 +290,45 @@ def grades_to_fetch(s, d):
     return grades.to_fetch(keys, _results(s, d).select(grades.query_key(F.col("text")).alias("skey")))
 
 
+def _case_records(s, d):
+    """Each case's query with each of its relevant records."""
+    c = _c(s, d).select(F.col("id").alias("a_id"), F.explode(F.array_distinct("relevant")).alias("b_id"), F.col("query").alias("a"))
+    return c.join(_r(s, d).select(F.col("id").alias("b_id"), F.col("matn").alias("b")), "b_id")
+
+
 def case_sources(s, d):
-    """Word differences of each case's query and its first relevant record."""
-    c = _c(s, d).where("size(relevant) > 0").select(F.col("id").alias("a_id"), F.element_at("relevant", 1).alias("b_id"), F.col("query").alias("a"))
-    return search.differences(c.join(_r(s, d).select(F.col("id").alias("b_id"), F.col("matn").alias("b")), "b_id")).select("a_id", "b_id", "shared_words", "a_words", "b_words", F.size("ops").alias("ops"))
+    """Word differences of each case's query and each of its relevant records."""
+    return search.differences(_case_records(s, d)).select("a_id", "b_id", "shared_words", "a_words", "b_words", F.size("ops").alias("ops"))
 
 
 def record_cards(s, d):
-    """Public projection of a record: book, plain number, quote cut at 160 characters, quoted first words of its chain."""
+    """Public projection of a record: book, plain number, quote cut at 160 characters, its grade unless that is one of those withheld."""
     r = _r(s, d)
-    m = X.cleaned(F.col("matn"))
-    return r.select("id", "book_title", X.plain_number(F.col("hadith_number")).alias("number"), F.when(F.length(m) > 160, F.concat(F.substring(m, 1, 160), F.lit("…"))).otherwise(m).alias("quote"), X.cleaned(F.col("grade")).alias("grade"))
+    m, grade = X.cleaned(F.col("matn")), X.cleaned(F.col("grade"))
+    withheld = F.exists(F.array(*[F.lit(w) for w in L.WITHHELD]), lambda w: F.contains(grade, w))
+    return r.select("id", "book_title", X.plain_number(F.col("hadith_number")).alias("number"), F.when(F.length(m) > 160, F.concat(F.substring(m, 1, 160), F.lit("…"))).otherwise(m).alias("quote"), F.when(withheld, "").otherwise(grade).alias("grade"), withheld.alias("grade_withheld"))
+
+
+def tagged_words(s, d):
+    """The words of every chain as stored, each with its tag: m transmission word, n part of a name, empty otherwise."""
+    return chains.tagged(_r(s, d), _raw_routes(s, d), MARKERS).select("id", F.to_json("words").alias("words"))
+
+
+def record_view(s, d):
+    """One row per record: its card, how many routes and names it has, and how many of them are in doubt or relatives."""
+    rts = _raw_routes(s, d).where("name is not null").select("id", "route_no", "step", "uncertain", "is_relative").distinct()
+    per = rts.groupBy("id").agg(F.countDistinct("route_no").alias("routes"), F.count("*").alias("names"), F.sum(F.coalesce("uncertain", F.lit(False)).cast("long")).alias("uncertain"), F.sum(F.coalesce("is_relative", F.lit(False)).cast("long")).alias("relatives"))
+    refers = records.references(_r(s, d)).select("id", "refers_to")
+    out = record_cards(s, d).join(per, "id", "left").join(refers, "id", "left")
+    return out.select("id", "book_title", "number", "quote", "grade", "grade_withheld", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("routes", "names", "uncertain", "relatives")], "refers_to")
+
+
+def name_view(s, d):
+    """Each name of a route with the words of the chain it was read from and how."""
+    r = _r(s, d).select("id", X.cleaned(F.concat_ws(" ", "isnad", "matn")).alias("words"))
+    rts = _raw_routes(s, d).where("name is not null").select("id", "route_no", "step", "name", "span_start", "span_end", "uncertain", "join_kind").distinct()
+    quote = F.when(F.col("span_start").isNotNull(), X.quote_words(F.col("words"), F.col("span_start"), F.col("span_end")))
+    return rts.join(r, "id").select("id", "route_no", "step", "name", quote.alias("quote"), F.when(F.col("uncertain"), "uncertain").otherwise("high").alias("confidence"), provenance.method_text(F.col("join_kind")).alias("method"))
 
 
 def chain_parse(s, d):
@@ -262,8 +345,7 @@ def route_tree_folded(s, d):
 
 
 def word_diffs(s, d):
-    c = _c(s, d).where("size(relevant) > 0").select(F.col("id").alias("a_id"), F.element_at("relevant", 1).alias("b_id"), F.col("query").alias("a"))
-    return diff.word_differences(c.join(_r(s, d).select(F.col("id").alias("b_id"), F.col("matn").alias("b")), "b_id")).select("a_id", "b_id", F.size("ops").alias("n_ops"), F.to_json("ops").alias("ops"))
+    return diff.word_differences(_case_records(s, d)).select("a_id", "b_id", F.size("ops").alias("n_ops"), F.to_json("ops").alias("ops"))
 
 
 def partial_cases(s, d):
@@ -286,6 +368,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     lookback_join, accusative_fix, isnad_word_tags, chain_quality, route_tree_exact, branch_point, tree_summary, route_filter_shortest,
     name_relations, routes_as_text, route_expand, find_narrator, routes_through, grade_match, grade_partition, grades_cache, grades_to_fetch,
     case_sources, record_cards, chain_parse, chain_parse_tree,
+    search_metrics, verdict_metrics, search_threshold_report, completed_chains, corrected_names, sentence_facts, family_tree, family_branch_point,
+    family_summary, incomplete_routes, routes_compared, tagged_words, record_view, name_view,
     route_tree_folded, word_diffs, partial_cases, spelling_cases, route_methods,
 )}
 

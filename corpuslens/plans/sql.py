@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .. import lexicon as L
 from ..functions.text import HONORIFICS, STOPWORDS
+from ..operators.provenance import METHODS
 
 
 def _norm(x: str, drop: bool = True) -> str:
@@ -59,6 +60,20 @@ rts AS (SELECT id, route_no, list(name ORDER BY step DESC) AS names, coalesce(bo
 pre AS (SELECT id, route_no, linked, i AS depth, array_to_string(names[1:i], ' > ') AS path, array_to_string(names[1:i - 1], ' > ') AS parent, names[i] AS label
   FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM rts)),
 nd AS (SELECT id, depth, path, parent, label, count(DISTINCT route_no) AS routes, bool_or(linked) AS linked FROM pre GROUP BY ALL)"""
+CLOSURE = f"""{WEIGHTS}, {REFERS}, qs AS (SELECT id AS doc FROM recs WHERE pos % 100 = 0),
+bs AS (SELECT q.doc, coalesce(r.refers_to, q.doc) AS base FROM qs q LEFT JOIN refs r ON r.id = q.doc),
+sim AS (SELECT a.doc, b.doc AS other, sum(a.w * b.w) AS s FROM wt a JOIN wt b USING (gram) WHERE a.doc IN (SELECT base FROM bs) AND a.doc <> b.doc GROUP BY ALL),
+near AS (SELECT doc, other, round(s, 3) AS similarity FROM sim WHERE s >= {L.T_STORED} QUALIFY row_number() OVER (PARTITION BY doc ORDER BY round(s, 3) DESC, other) <= {L.FAMILY_KEPT}),
+one AS (SELECT doc, base AS member, 1.0 AS s, 1 AS p FROM bs UNION ALL SELECT doc, doc, 1.0, 1 FROM bs UNION ALL SELECT b.doc, n.other, n.similarity, 0 FROM bs b JOIN near n ON n.doc = b.base WHERE n.similarity >= {L.T_FAMILY}),
+fst AS (SELECT doc, member, s FROM one QUALIFY row_number() OVER (PARTITION BY doc, member ORDER BY p, s DESC) = 1),
+two AS (SELECT doc, member, s, 0 AS p FROM fst UNION ALL SELECT f.doc, r.id, f.s, 1 FROM fst f JOIN refs r ON r.refers_to = f.member),
+fam AS (SELECT doc, member, round(s, 3) AS similarity FROM two QUALIFY row_number() OVER (PARTITION BY doc, member ORDER BY p, s DESC) = 1)"""
+FAMILY = f"""{CLOSURE}, {ROUTES}, fr AS (SELECT DISTINCT f.doc, r.id, h.book, r.route_no, r.names, r.linked FROM fam f JOIN rts r ON r.id = f.member JOIN recs h ON h.id = r.id),
+whole AS (SELECT *, id || '#' || route_no AS route, list_append(names, 'book:' || book) AS leafed FROM fr WHERE len(names) > 1 OR (len(names) = 1 AND linked)),
+leaf AS (SELECT *, unnest(range(1, len(leafed) + 1)) AS i FROM whole),
+tr AS (SELECT doc, i AS depth, array_to_string(leafed[1:i], ' > ') AS path, array_to_string(leafed[1:i - 1], ' > ') AS parent, leafed[i] AS label, CASE WHEN i = len(leafed) THEN 'book' WHEN i = 1 THEN 'companion' ELSE 'narrator' END AS kind,
+  count(DISTINCT route) AS routes, count(DISTINCT id) AS records, count(DISTINCT book) AS books, bool_or(linked) AS linked FROM leaf GROUP BY 1, 2, 3, 4, 5, 6)"""
+_METHODS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in METHODS.items())
 RESULTS = "res AS (SELECT * FROM dorar_results WHERE result_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY retrieved) = 1)"
 
 
@@ -80,6 +95,9 @@ _MARKERS = "'حدثنا', 'حدثني', 'اخبرنا', 'اخبرني', 'انب
 _WHITE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _NAMEWORDS = f"nw AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split({FOLDED}, ' ')) AS word FROM routes WHERE name IS NOT NULL) WHERE word <> '' GROUP BY word)"
 
+CARDS = f"""{RECS}, cl AS (SELECT *, {_clean('matn')} AS m, {_clean('grade')} AS g FROM recs), cards AS (SELECT id, book_title, regexp_replace(hadith_number, '\\.0$', '') AS number,
+  CASE WHEN length(m) > 160 THEN left(m, 160) || '…' ELSE m END AS quote, CASE WHEN {' OR '.join(f"contains(g, '{w}')" for w in L.WITHHELD)} THEN '' ELSE g END AS grade, {' OR '.join(f"contains(g, '{w}')" for w in L.WITHHELD)} AS grade_withheld FROM cl)"""
+
 SQL: dict[str, str] = {
     "normalize_records": f"WITH {RECS} SELECT id, nm, regexp_replace(string_split(nm, ' ')[1], '^({_STEM})(..)', '\\2') AS first_stem FROM recs",
     "token_stats": f"WITH {RECS}, {POST} SELECT n, round(avgdl, 6) AS avgdl FROM st",
@@ -101,20 +119,11 @@ jc AS (SELECT term, alternative, common, common / (a + b - common) AS j FROM sh
 SELECT term, alternative, round(j, 3) AS weight, row_number() OVER (PARTITION BY term ORDER BY round(j, 3) DESC, common DESC, alternative) AS rank FROM jc WHERE j >= {L.FUZZY_FLOOR} QUALIFY rank <= {L.FUZZY_KEPT}""",
     "phrase_containment": f"""WITH {RECS}, {CASES} SELECT c.id AS query, r.id AS doc FROM cs c JOIN recs r ON c.qn <> '' AND (contains(' ' || r.nm || ' ', ' ' || c.qn || ' ')
   OR contains(' ' || r.nm || ' ', ' و' || c.qn || ' ') OR contains(' ' || r.nm || ' ', ' ف' || c.qn || ' '))""",
-    "closest_candidates": f"""WITH {RECS}, {CASES}, {WORDS}, qw AS (SELECT DISTINCT id AS query, unnest(string_split(qn, ' ')) AS word FROM cs), q AS (SELECT * FROM qw WHERE word <> ''),
-n AS (SELECT query, count(*) AS n FROM q GROUP BY query), h AS (SELECT DISTINCT doc, word FROM words), c AS (SELECT query, doc, count(*) AS common FROM q JOIN h USING (word) GROUP BY ALL)
-SELECT query, row_number() OVER (PARTITION BY query ORDER BY common DESC, doc) AS rank, doc, common FROM c JOIN n USING (query) WHERE common >= greatest(1, floor(n / 2)) QUALIFY rank <= 3""",
     "tfidf_weights": f"WITH {WEIGHTS} SELECT doc, count(*) AS grams, round(max(w), 5) AS largest FROM wt GROUP BY doc",
     "families_topk": f"WITH {NEAR.replace('qs AS', 'base AS').format(least=L.T_STORED)} SELECT doc, rank, other, similarity FROM near",
-    "near_copies": f"WITH {NEAR.replace('qs AS', 'base AS').format(least=0.9)} SELECT doc, other FROM near",
-    "family_closure": f"""WITH {WEIGHTS}, {REFERS}, qs AS (SELECT id AS doc FROM recs WHERE pos % 100 = 0),
-bs AS (SELECT q.doc, coalesce(r.refers_to, q.doc) AS base FROM qs q LEFT JOIN refs r ON r.id = q.doc),
-sim AS (SELECT a.doc, b.doc AS other, sum(a.w * b.w) AS s FROM wt a JOIN wt b USING (gram) WHERE a.doc IN (SELECT base FROM bs) AND a.doc <> b.doc GROUP BY ALL),
-near AS (SELECT doc, other, round(s, 3) AS similarity FROM sim WHERE s >= {L.T_STORED} QUALIFY row_number() OVER (PARTITION BY doc ORDER BY round(s, 3) DESC, other) <= {L.FAMILY_KEPT}),
-one AS (SELECT doc, base AS member, 1.0 AS s, 1 AS p FROM bs UNION ALL SELECT doc, doc, 1.0, 1 FROM bs UNION ALL SELECT b.doc, n.other, n.similarity, 0 FROM bs b JOIN near n ON n.doc = b.base WHERE n.similarity >= {L.T_FAMILY}),
-fst AS (SELECT doc, member, s FROM one QUALIFY row_number() OVER (PARTITION BY doc, member ORDER BY p, s DESC) = 1),
-two AS (SELECT doc, member, s, 0 AS p FROM fst UNION ALL SELECT f.doc, r.id, f.s, 1 FROM fst f JOIN refs r ON r.refers_to = f.member)
-SELECT doc, member, round(s, 3) AS similarity FROM two QUALIFY row_number() OVER (PARTITION BY doc, member ORDER BY p, s DESC) = 1""",
+    "near_copies": f"""WITH {WEIGHTS}, sim AS (SELECT a.doc, b.doc AS other, sum(a.w * b.w) AS s FROM wt a JOIN wt b USING (gram) WHERE a.doc IN (SELECT id FROM recs WHERE pos % 100 = 0) AND a.doc <> b.doc GROUP BY ALL)
+SELECT doc, other FROM sim WHERE s >= 0.9""",
+    "family_closure": f"WITH {CLOSURE} SELECT doc, member, similarity FROM fam",
     "ir_metrics": f"WITH {METRICS} SELECT * FROM mt",
     "threshold_report": f"""WITH {METRICS}, fl(scope, metric, floor) AS (VALUES {_FLOORS}),
 lg AS (UNPIVOT (SELECT coalesce(category, 'overall') AS scope, {', '.join(_NAMES)} FROM mt WHERE split = 'dev' AND gid IN (0, 2)) ON {', '.join(_NAMES)} INTO NAME metric VALUE value)
@@ -134,10 +143,28 @@ SELECT book, run, chapter, min(pos) AS first_pos, max(pos) AS last_pos, count(*)
 e AS (SELECT book, 'exact' AS category, row_number() OVER (PARTITION BY book ORDER BY key, id) AS rank, id FROM b WHERE n BETWEEN 6 AND 30 QUALIFY rank <= {L.SAMPLE_PER_BOOK}),
 p AS (SELECT book, 'partial' AS category, row_number() OVER (PARTITION BY book ORDER BY key, id) AS rank, id FROM b WHERE n >= 20 AND id NOT IN (SELECT id FROM e) QUALIFY rank <= {L.SAMPLE_PER_BOOK})
 SELECT * FROM e UNION ALL SELECT * FROM p""",
+    # the place is the first name that is the wanted one, or begins with it, or with which it begins
     "lookback_join": f"""WITH {RECS}, {ROUTES}, up AS (SELECT r.id, r.route_no, list_reverse(r.names) AS names, h.book, h.pos FROM rts r JOIN recs h ON h.id = r.id),
-m AS (SELECT a.id, a.route_no, b.id AS donor, b.route_no AS donor_route, list_position(b.names, a.names[-1]) AS place, a.pos - b.pos AS back, len(b.names) AS n
-  FROM up a JOIN up b ON b.book = a.book AND a.pos - b.pos BETWEEN 1 AND {L.LOOK_BACK})
-SELECT id, route_no, donor, donor_route, place FROM m WHERE place > 0 AND place < n QUALIFY row_number() OVER (PARTITION BY id, route_no ORDER BY back, donor, donor_route) = 1""",
+x AS (SELECT a.id, a.route_no, b.id AS donor, b.route_no AS donor_route, a.pos - b.pos AS back, len(b.names) AS n, a.names[-1] AS tail, b.names AS theirs, unnest(range(1, len(b.names) + 1)) AS i
+  FROM up a JOIN up b ON b.book = a.book AND a.pos - b.pos BETWEEN 1 AND {L.LOOK_BACK}),
+m AS (SELECT id, route_no, donor, donor_route, back, n, min(i) AS place FROM x WHERE theirs[i] = tail OR starts_with(theirs[i], tail || ' ') OR starts_with(tail, theirs[i] || ' ') GROUP BY ALL)
+SELECT id, route_no, donor, donor_route, place FROM m WHERE place < n QUALIFY row_number() OVER (PARTITION BY id, route_no ORDER BY back, donor, donor_route) = 1""",
+    "family_tree": f"WITH {FAMILY} SELECT * FROM tr",
+    "family_branch_point": f"""WITH {FAMILY}, kids AS (SELECT doc, parent AS path, count(*) AS branches FROM tr WHERE depth > 1 GROUP BY ALL HAVING count(*) >= 2)
+SELECT doc, path, label, routes, branches FROM tr JOIN kids USING (doc, path) WHERE kind <> 'book' QUALIFY row_number() OVER (PARTITION BY doc ORDER BY routes * (branches - 1) DESC, depth, path) = 1""",
+    "family_summary": f"""WITH {FAMILY}, cp AS (SELECT doc, names[1] AS companion, count(DISTINCT route) AS n FROM whole WHERE linked AND len(names) > 1 GROUP BY ALL),
+tp AS (SELECT doc, companion AS top_companion FROM cp QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, companion) = 1)
+SELECT d.doc, (SELECT count(DISTINCT route) FROM whole w WHERE w.doc = d.doc) AS routes, (SELECT count(DISTINCT id) FROM whole w WHERE w.doc = d.doc) AS narrations,
+  (SELECT count(*) FROM cp c WHERE c.doc = d.doc) AS companions, (SELECT count(DISTINCT book) FROM whole w WHERE w.doc = d.doc) AS books,
+  (SELECT count(*) FROM fr f WHERE f.doc = d.doc AND len(f.names) = 1 AND NOT f.linked) AS incomplete, tp.top_companion
+FROM (SELECT DISTINCT doc FROM fr) d LEFT JOIN tp ON tp.doc = d.doc""",
+    "incomplete_routes": f"WITH {FAMILY} SELECT doc, id, route_no, names[1] AS names FROM fr WHERE len(names) = 1 AND NOT linked",
+    "routes_compared": f"""WITH {ROUTES}, n AS (SELECT id, route_no, list_distinct(names) AS names FROM rts)
+SELECT a.id, a.route_no AS route_a, b.route_no AS route_b, len(list_intersect(a.names, b.names)) AS shared, len(list_filter(a.names, lambda x: NOT list_contains(b.names, x))) AS only_a,
+  len(list_filter(b.names, lambda x: NOT list_contains(a.names, x))) AS only_b FROM n a JOIN n b ON b.id = a.id AND a.route_no < b.route_no""",
+    "corrected_names": f"""WITH {_NAMEWORDS}, fx AS (SELECT a.word, b.word AS fixed FROM nw a JOIN nw b ON b.word = left(a.word, length(a.word) - 1) WHERE a.word LIKE '%ا' AND length(a.word) > 3 AND b.n >= 20 AND b.n > 3 * a.n),
+w AS (SELECT id, route_no, step, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS nth FROM (SELECT id, route_no, step, list_filter(string_split({FOLDED}, ' '), lambda w: w <> '') AS ws FROM routes WHERE name IS NOT NULL AND id IS NOT NULL))
+SELECT id, route_no, step, string_agg(w.word, ' ' ORDER BY nth) AS was, string_agg(coalesce(fixed, w.word), ' ' ORDER BY nth) AS name FROM w LEFT JOIN fx ON fx.word = w.word GROUP BY id, route_no, step HAVING count(fixed) > 0""",
     "accusative_fix": f"""WITH {_NAMEWORDS} SELECT a.word, a.n, b.word AS fixed, b.n AS fixed_n FROM nw a JOIN nw b ON b.word = left(a.word, length(a.word) - 1)
 WHERE a.word LIKE '%ا' AND length(a.word) > 3 AND b.n >= 20 AND b.n > 3 * a.n""",
     "isnad_word_tags": f"""WITH {RECS}, s AS (SELECT id, list_filter(string_split_regex(coalesce(isnad, ''), '{_WHITE}'), lambda w: w <> '') AS ws FROM recs),
@@ -165,6 +192,14 @@ SELECT id, array_to_string(ws[(len(ws) // 3) + 1:(len(ws) // 3) + 8], ' ') AS qu
     "grades_cache": f"""WITH {RECS}, {RESULTS}, k AS (SELECT DISTINCT {_key('matn')} AS skey FROM recs), s AS (SELECT {_key('text')} AS skey, result_id FROM res)
 SELECT CASE WHEN skey IN (SELECT skey FROM s WHERE result_id % 2 = 0) THEN 'built' WHEN skey IN (SELECT skey FROM s) THEN 'runtime' ELSE 'missing' END AS origin, count(*) AS n FROM k WHERE skey <> '' GROUP BY ALL""",
     "grades_to_fetch": f"""WITH {RECS}, {RESULTS} SELECT DISTINCT {_key('matn')} AS skey FROM recs WHERE skey <> '' AND skey NOT IN (SELECT {_key('text')} FROM res) ORDER BY skey LIMIT 80""",
-    "record_cards": f"""WITH {RECS}, c AS (SELECT *, {_clean('matn')} AS m FROM recs) SELECT id, book_title, regexp_replace(hadith_number, '\\.0$', '') AS number,
-  CASE WHEN length(m) > 160 THEN left(m, 160) || '…' ELSE m END AS quote, {_clean('grade')} AS grade FROM c""",
+    "record_cards": f"WITH {CARDS} SELECT * FROM cards",
+    "record_view": f"""WITH {CARDS}, {REFERS}, v AS (SELECT DISTINCT id, route_no, step, uncertain, is_relative FROM routes WHERE id IS NOT NULL AND name IS NOT NULL),
+p AS (SELECT id, count(DISTINCT route_no) AS routes, count(*) AS names, count(*) FILTER (uncertain) AS uncertain, count(*) FILTER (is_relative) AS relatives FROM v GROUP BY id)
+SELECT c.*, coalesce(p.routes, 0) AS routes, coalesce(p.names, 0) AS names, coalesce(p.uncertain, 0) AS uncertain, coalesce(p.relatives, 0) AS relatives, refs.refers_to
+FROM cards c LEFT JOIN p ON p.id = c.id LEFT JOIN refs ON refs.id = c.id""",
+    "name_view": f"""WITH {RECS}, w AS (SELECT id, list_filter(string_split_regex(concat_ws(' ', isnad, matn), '{_WHITE}'), lambda w: w <> '') AS ws FROM recs),
+v AS (SELECT DISTINCT id, route_no, step, name, span_start, span_end, uncertain, join_kind FROM routes WHERE id IS NOT NULL AND name IS NOT NULL)
+SELECT v.id, route_no, step, name, CASE WHEN span_start IS NOT NULL THEN array_to_string(ws[span_start + 1:span_end], ' ') END AS quote, CASE WHEN uncertain THEN 'uncertain' ELSE 'high' END AS confidence,
+  array_to_string(list_transform(list_filter(string_split(coalesce(join_kind, 'direct'), '+'), lambda p: p <> ''), lambda p: CASE p {_METHODS} ELSE p END), '; ') AS method
+FROM v JOIN w ON w.id = v.id""",
 }

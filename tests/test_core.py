@@ -13,6 +13,9 @@ from corpuslens.operators import chains, evaluation, families, grades, index, re
 from corpuslens.plans import registry
 
 
+DATA = "/root/testdata/sf0.001"
+
+
 def one(spark, value, fn):
     return spark.createDataFrame([(value,)], "x string").select(fn(F.col("x")).alias("y")).first()["y"]
 
@@ -187,3 +190,78 @@ def test_near_copies_beyond_the_kept(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(registry, "_r", lambda s, d: recs)
     got = [tuple(r) for r in registry.near_copies(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(("r0", f"r{i}") for i in range(1, 60))
+
+
+def test_look_back_and_completion(spark):
+    recs = spark.createDataFrame([(f"b-{i}", "b", i) for i in range(1, 8)] + [("c-8", "c", 8)], "id string, book string, pos long")
+    chains_ = {"b-1": [["زيد", "عمرو بن بكر", "خالد", "سعد"]], "b-2": [["علي", "عمرو"]], "b-3": [["حسن", "خالد"], ["نصر"]], "b-4": [["سعد", "زيد"]], "b-5": [["حسن", "سعد"]], "b-7": [["بشر", "علي"]], "c-8": [["بشر", "زيد"]]}
+    rows = [(i, k, n[::-1], i == "b-1") for i, rs in chains_.items() for k, n in enumerate(rs, 1)]
+    rts = spark.createDataFrame(rows, "id string, route_no int, names array<string>, linked boolean")
+    same = spark.createDataFrame([("b-2",), ("b-3",), ("b-7",), ("c-8",)], "id string")
+    # the rules read literally, record after record
+    order = [f"b-{i}" for i in range(1, 8)] + ["c-8"]
+    want, place = {}, {i: (i[0], int(i[2:])) for i in order}
+    state = {i: [(list(n), None, i == "b-1") for n in rs] for i, rs in chains_.items()}
+    fits = lambda a, b: a == b or a.startswith(b + " ") or b.startswith(a + " ")
+    for i in order:
+        for r, (names, _, _) in enumerate(state.get(i, [])):
+            if i in ("b-2", "b-3", "b-7", "c-8"):
+                for back in (1, 2, 3):
+                    donor = next((d for d in order if place[d] == (i[0], place[i][1] - back)), None)
+                    hits = [(theirs[k + 1 :], d_linked) for theirs, _, d_linked in state.get(donor, []) for k in [next((k for k, n in enumerate(theirs) if fits(n, names[-1])), None)] if k is not None and k + 1 < len(theirs)]
+                    if hits:
+                        state[i][r] = (names + hits[0][0], donor, hits[0][1])
+                        break
+            want[i, r + 1] = tuple(map(lambda x: tuple(x) if isinstance(x, list) else x, state[i][r]))
+    got = {(x["id"], x["route_no"]): (tuple(x["names"]), x["prior"], x["linked"]) for x in chains.completed(recs, rts, same).collect()}
+    assert got == want and got["b-3", 1] == (("حسن", "خالد", "سعد"), "b-2", True) and got["b-2", 1][1] == "b-1"
+    met = {(x["id"], x["route_no"]): (x["donor"], x["place"]) for x in chains.look_back(recs, rts).collect()}
+    assert met["b-2", 1] == ("b-1", 2) and met["b-3", 1] == ("b-1", 3) and ("c-8", 1) not in met
+    assert chains.completed(recs, rts, same.limit(0)).count() == len(rows) and chains.completed(recs.limit(0), rts.limit(0), same).count() == 0
+
+
+def test_closest_by_order(spark):
+    import difflib
+
+    texts = {"a": "واحد اثنان ثلاثة اربعة خمسة", "b": "خمسة اربعة ثلاثة اثنان واحد", "c": "واحد اثنان", "d": "ستة سبعة", "e": "", "f": "واحد اثنان ثلاثة غير اربعة خمسة", "g": "واحد اثنان ثلاثة اربعة خمسة"}
+    recs = spark.createDataFrame([(k, t.replace("ة", "ه")) for k, t in texts.items()], "id string, nm string")
+    for q in ("واحد اثنان ثلاثه اربعه خمسه", "سته", "غريب", "", "واحد واحد اثنان ثلاثه"):
+        words = q.split()
+        scored = []
+        for k, t in texts.items():
+            ws = t.replace("ة", "ه").split()
+            common = len(set(words) & set(ws))
+            if words and common >= max(1, len(set(words)) // 2):
+                n = sum(m.size for m in difflib.SequenceMatcher(None, words, ws, autojunk=False).get_matching_blocks())
+                scored.append((-n / len(words), -common, k))
+        got = [(r["doc"], r["common"]) for r in index.closest(spark.createDataFrame([("q", q)], "id string, qn string"), recs).orderBy("rank").collect()]
+        assert got == [(k, -c) for _, c, k in sorted(scored)[:3]]
+
+
+def test_grades_with_arabic_digits(spark):
+    recs = spark.createDataFrame([("a", "واحد اثنان ثلاثة اربعة خمسة", "جامع الوادي", "17", "واحد اثنان ثلاثه اربعه خمسه")], "id string, matn string, book_title string, hadith_number string, nm string")
+    res = spark.createDataFrame([(1, "واحد اثنان ثلاثة اربعة خمسة", "جامع الوادي", "١٧", "صحيح", "فلان")], "result_id long, text string, book string, ref string, verdict string, muhaddith string")
+    assert [(r["kind"], r["confidence"]) for r in grades.matches(recs, res).collect()] == [("same_source", "high")]
+
+
+def test_verdict_metrics(spark):
+    ranks = spark.createDataFrame([("1", "exact", "dev", "exists", True, 1), ("2", "exact", "dev", "exists", True, 2), ("3", "exact", "dev", "exists", True, None), ("4", "absent", "dev", "absent", False, None), ("5", "absent", "test", "absent", False, None)], "id string, category string, split string, expect string, ranked boolean, rank int")
+    states = spark.createDataFrame([("1", "found"), ("2", "near"), ("3", "not_found"), ("4", "found"), ("5", "empty")], "query string, state string")
+    m = {(r["category"], r["split"]): r for r in evaluation.verdict_metrics(ranks, states).where("gid in (0, 3)").collect()}
+    whole = m[None, None]
+    assert (whole["verdict_precision"], whole["verdict_recall"], whole["top1_precision"], whole["false_exists"], whole["missed"]) == (0.667, 0.667, 0.5, 1, 1)
+    assert m["absent", "test"]["verdict_precision"] is None and m["absent", "test"]["false_exists"] == 0
+    report = evaluation.threshold_report(evaluation.metrics(ranks), evaluation.verdict_metrics(ranks, states)).where("metric = 'false_exists'").collect()
+    assert [(r["value"], r["holds"]) for r in report] == [(1.0, False)]
+
+
+def test_similar_is_exact(spark):
+    """The search by heavy grams gives what the full product gives."""
+    recs = spark.read.parquet(f"{DATA}/hadiths.parquet").where("id is not null").dropDuplicates(["id"]).withColumn("nm", X.normalize(X.cleaned(F.col("matn"))))
+    w = families.weights(recs).toPandas()
+    vectors = {d: dict(zip(g["gram"], g["w"])) for d, g in w.groupby("doc")}
+    queries = sorted(vectors)[:12]
+    for least in (0.3, 0.9):
+        want = {(a, b) for a in queries for b in vectors if a != b and sum(v * vectors[b].get(g, 0.0) for g, v in vectors[a].items()) >= least}
+        got = {(r["doc"], r["other"]) for r in families.similar(recs, spark.createDataFrame([(q,) for q in queries], "doc string"), least).collect()}
+        assert got == want and (want or least > 0.3)
