@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .base import frequency_sketch, map_arrow
+from .base import cut, frequency_sketch, map_arrow
 from .leaks import _class_of, _flat
 
 SKETCH_BITS = 17
@@ -81,11 +81,22 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+class _Lists:
+    """Word hashes of a batch's texts, from the column they are written in."""
+
+    def __init__(self, col: pa.Array):
+        col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+        off = np.asarray(col.offsets).astype(np.int64)
+        self.hash = np.asarray(col.values)[off[0] : off[-1]].view(np.uint64)
+        self.count = np.diff(off)
+        self.doc = np.repeat(np.arange(len(self.count)), self.count)
+
+
 def _prefixes(side: str, counts):
     bits = SKETCH_BITS
 
     def fn(batch):
-        words = vec.common_words(batch["text"])
+        words = _Lists(batch["words"])
         row, value = _pairs(words)
         place = _ordered(row, value, counts.value, bits)
         size = words.count
@@ -94,7 +105,7 @@ def _prefixes(side: str, counts):
         keep = (size[row] >= LONG_MIN) & (place < (size - 1 - need + 1)[row])
         row, value, place = row[keep], value[keep], place[keep]
         yield pa.RecordBatch.from_pydict({
-            "shingle": vec.signed(value), f"{side}_class": vec.signed(_class_of(words, batch.num_rows)[row]),
+            "shingle": vec.signed(value), f"{side}_class": batch["class"].take(pa.array(row)),
             f"{side}_size": pa.array(size[row].astype(np.int32)), f"{side}_place": pa.array(place.astype(np.int32)),
         })
 
@@ -105,7 +116,7 @@ def _by_id(side: str, short: bool, counts):
     """Words keyed by relevant id: of the shorter text a prefix, of the longer all."""
 
     def fn(batch):
-        words = vec.common_words(batch["text"])
+        words = _Lists(batch["words"])
         row, value = words.doc, _numbered(words.hash, words.doc)
         size = words.count
         keep = size[row] >= SHORT_MIN
@@ -114,7 +125,7 @@ def _by_id(side: str, short: bool, counts):
             keep &= place < (size - _need(SHORT_SHARE, size) + 1)[row]
         row, value = row[keep], value[keep]
         key = vec.mix(value ^ vec.string_keys(batch["rid"])[row])
-        yield pa.RecordBatch.from_pydict({"key": vec.signed(key), "rid": batch["rid"].take(pa.array(row)), f"{side}_class": vec.signed(_class_of(words, batch.num_rows)[row]), f"{side}_size": pa.array(size[row].astype(np.int32))})
+        yield pa.RecordBatch.from_pydict({"key": vec.signed(key), "rid": batch["rid"].take(pa.array(row)), f"{side}_class": batch["class"].take(pa.array(row)), f"{side}_size": pa.array(size[row].astype(np.int32))})
 
     return fn
 
@@ -122,7 +133,13 @@ def _by_id(side: str, short: bool, counts):
 def _word_lists(batch):
     words = vec.common_words(batch["text"])
     lists = pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), vec.signed(words.hash))
-    return {"case_id": batch["case_id"], "split": batch["split"], "class": vec.signed(_class_of(words, batch.num_rows)), "words": lists}
+    return {c: batch[c] for c in ("case_id", "split", "relevant")} | {"class": vec.signed(_class_of(words, batch.num_rows)), "words": lists}
+
+
+def _values(batch):
+    """Words and shingles of a batch: one sketch serves the order of both."""
+    words = _Lists(batch["words"])
+    return np.concatenate([words.hash, _pairs(words)[1]])
 
 
 def _measure(batch):
@@ -133,39 +150,39 @@ def _measure(batch):
 
 def overlaps(cases: DataFrame, train: str = "dev", held: str = "test") -> DataFrame:
     """Pairs (train_id, held_id, n, train_words, held_words) of cases (case_id, text, split, relevant)."""
-    cases = cases.select("case_id", "text", "split", "relevant").where(F.col("split").isin(train, held) & F.expr("case_id is not null and text is not null")).dropDuplicates(["case_id"])
-    lists = map_arrow(cases, _word_lists, "case_id string, split string, class long, words array<long>")
-    sides = {"dev": cases.where(F.col("split") == train), "test": cases.where(F.col("split") == held)}
-    sc = cases.sparkSession.sparkContext
-    pair_counts = sc.broadcast(frequency_sketch(cases, lambda b: _pairs(vec.common_words(b["text"]))[1], SKETCH_BITS))
-    word_counts = sc.broadcast(frequency_sketch(cases, lambda b: vec.common_words(b["text"]).hash, SKETCH_BITS))
-
-    prefix = {s: _flat(df.select("text"), _prefixes(s, pair_counts), f"shingle long, {s}_class long, {s}_size int, {s}_place int").distinct() for s, df in sides.items()}
+    given = cases.select("case_id", "text", "split", "relevant").where(F.col("split").isin(train, held) & F.expr("case_id is not null and text is not null"))
+    listed = map_arrow(given, _word_lists, "case_id string, split string, relevant array<string>, class long, words array<long>")
+    listed = cut(listed.dropDuplicates(["case_id"]))  # texts are read once
+    sides = {"dev": listed.where(F.col("split") == train), "test": listed.where(F.col("split") == held)}
+    counts = cases.sparkSession.sparkContext.broadcast(frequency_sketch(listed, _values, SKETCH_BITS))
+    texts = {s: df.groupBy("class").agg(F.first("words").alias("words")) for s, df in sides.items()}
+
+    prefix = {s: _flat(df, _prefixes(s, counts), f"shingle long, {s}_class long, {s}_size int, {s}_place int") for s, df in texts.items()}
     longer, shorter = F.greatest("dev_size", "test_size"), F.least("dev_size", "test_size")
     least = F.greatest(F.ceil(longer * 8 / 10), F.lit(0))  # n needed
     need = F.greatest(3 * least - 1 - F.col("dev_size") - F.col("test_size"), F.lit(1))
     left = F.least(F.col("dev_size") - 1 - F.col("dev_place"), F.col("test_size") - 1 - F.col("test_place"))
-    near = prefix["dev"].join(prefix["test"], "shingle").where((shorter >= least) & (left >= need)).select("dev_class", "test_class")
+    near = prefix["dev"].join(prefix["test"].hint("merge"), "shingle").where((shorter >= least) & (left >= need)).select("dev_class", "test_class")
 
-    ids = {s: df.select("text", F.explode("relevant").alias("rid")).where("rid is not null") for s, df in sides.items()}
+    ids = {s: df.select("class", "words", F.explode("relevant").alias("rid")).where("rid is not null").groupBy("class", "rid").agg(F.first("words").alias("words")) for s, df in sides.items()}
     same = []
     for short, long in (("dev", "test"), ("test", "dev")):
-        a = _flat(ids[short], _by_id(short, True, word_counts), f"key long, rid string, {short}_class long, {short}_size int").distinct()
-        b = _flat(ids[long], _by_id(long, False, word_counts), f"key long, rid string, {long}_class long, {long}_size int").distinct()
-        same.append(a.join(b, ["key", "rid"]).where(F.col(f"{short}_size") <= F.col(f"{long}_size")).select("dev_class", "test_class"))
+        a = _flat(ids[short], _by_id(short, True, counts), f"key long, rid string, {short}_class long, {short}_size int")
+        b = _flat(ids[long], _by_id(long, False, counts), f"key long, rid string, {long}_class long, {long}_size int")
+        same.append(a.join(b.hint("merge"), ["key", "rid"]).where(F.col(f"{short}_size") <= F.col(f"{long}_size")).select("dev_class", "test_class"))
     candidates = near.union(same[0]).union(same[1]).distinct()
 
-    texts = lists.groupBy("class").agg(F.first("words").alias("words"))
-    pairs = candidates.join(texts.select(F.col("class").alias("dev_class"), F.col("words").alias("dev_words")), "dev_class").join(
-        texts.select(F.col("class").alias("test_class"), F.col("words").alias("test_words")), "test_class")
+    pairs = candidates
+    for s, df in texts.items():
+        pairs = pairs.join(df.select(F.col("class").alias(f"{s}_class"), F.col("words").alias(f"{s}_words")).hint("merge"), f"{s}_class")
     measured = map_arrow(pairs, _measure, "dev_class long, test_class long, n int, dev_n int, test_n int")
     most, fewest = F.greatest("dev_n", "test_n"), F.least("dev_n", "test_n")
     first = (fewest >= LONG_MIN) & (F.col("n") * 10 >= most * 8)
     second = (fewest >= SHORT_MIN) & (F.col("n") * 10 >= fewest * 9)
     good = measured.where(first | second).withColumn("alone", first)
-    of = {s: map_arrow(df.select("case_id", "split", "text"), _word_lists, "case_id string, split string, class long, words array<long>").select("case_id", "class").join(df.select("case_id", "relevant"), "case_id") for s, df in sides.items()}
-    out = good.join(of["dev"].select(F.col("class").alias("dev_class"), F.col("case_id").alias("train_id"), F.col("relevant").alias("a")), "dev_class").join(
-        of["test"].select(F.col("class").alias("test_class"), F.col("case_id").alias("held_id"), F.col("relevant").alias("b")), "test_class")
+    out = good
+    for s, name, ids_of in (("dev", "train_id", "a"), ("test", "held_id", "b")):
+        out = out.join(sides[s].select(F.col("class").alias(f"{s}_class"), F.col("case_id").alias(name), F.col("relevant").alias(ids_of)).hint("merge"), f"{s}_class")
     out = out.where(F.col("alone") | F.coalesce(F.arrays_overlap(F.array_compact("a"), F.array_compact("b")), F.lit(False)))
     return out.select("train_id", "held_id", "n", F.col("dev_n").alias("train_words"), F.col("test_n").alias("held_words"))
 

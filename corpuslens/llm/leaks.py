@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import vec
 from .base import bit_filter, map_arrow
@@ -91,13 +92,9 @@ def _case_classes(tests: DataFrame) -> DataFrame:
     return map_arrow(tests, fn, "case_id string, class long, n_words int").distinct()
 
 
-def overlaps(tests: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, class, shift, first_word, last_word, replaced, exact) of overlaps on one diagonal.
-
-    ``first_word``/``last_word`` are of the document, in common form; ``replaced`` counts words known to differ among
-    them; ``exact`` says whether at least ``SPAN`` consecutive words are the same.
-    """
-    tests = tests.select("case_id", "text").where("case_id is not null and text is not null")
+def _hits(tests: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, class, shift, pos, wrong): windows of documents that have a seed of a test text; ``wrong`` are the places whose words differ."""
+    tests = _given(tests)
     documents = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
 
     def test_seeds(batch):
@@ -117,15 +114,31 @@ def overlaps(tests: DataFrame, documents: DataFrame) -> DataFrame:
         return _emit(vec.common_words(batch["text"]), {"doc_id": batch["doc_id"]}, np.unpackbits(allowed.value).astype(bool))
 
     probes = _flat(documents, doc_seeds, f"{kinds}, doc_id {documents.schema['doc_id'].dataType.simpleString()}")
-    hit = probes.alias("d").join(index.alias("t"), ["mask", "seed"]).select(
-        "doc_id", "class", (F.col("d.pos") - F.col("t.pos")).alias("shift"), F.col("d.pos").alias("pos"), (F.col("d.ignored") == F.col("t.ignored")).alias("same"),
-    )
-    # Spans of one diagonal are merged where they touch or overlap.
+    met = probes.alias("d").join(index.alias("t").hint("merge"), ["mask", "seed"]).withColumn("other", F.col("d.ignored").bitwiseXOR(F.col("t.ignored")))
+    # each ignored word has an equal part of the 64 bits, the first one the lowest
+    place, differs = F.lit(None).cast("array<int>"), []
+    for m, mask in enumerate(MASKS):
+        free = [j for j, c in enumerate(mask) if c == "0"]
+        width = 64 // len(free)
+        differs = [F.when(F.shiftrightunsigned("other", k * width).bitwiseAND(F.lit((1 << width) - 1)) != 0, F.col("d.pos") + j) for k, j in enumerate(free)]
+        place = F.when(F.col("mask") == m, F.array_compact(F.array(*differs))).otherwise(place)
+    return met.select("doc_id", "class", (F.col("d.pos") - F.col("t.pos")).alias("shift"), F.col("d.pos").alias("pos"), place.alias("wrong"))
+
+
+def overlaps(tests: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, class, shift, first_word, last_word, windows, replaced, exact) of overlaps on one diagonal.
+
+    Windows of a diagonal are one overlap as long as they touch or overlap; a gap begins another.  ``first_word`` and
+    ``last_word`` are of the document, in common form; ``replaced`` counts the words among them that differ; ``exact`` says
+    whether at least ``SPAN`` consecutive words are the same.
+    """
     by = ["doc_id", "class", "shift"]
-    return (
-        hit.groupBy(*by, "pos").agg(F.max("same").alias("same"))
-        .groupBy(*by).agg(F.min("pos").alias("first_word"), (F.max("pos") + F.lit(SPAN - 1)).alias("last_word"), F.count("*").alias("windows"), F.max("same").alias("exact"))
-    )
+    hit = _hits(tests, documents).groupBy(*by, "pos").agg(F.min_by("wrong", F.size("wrong")).alias("wrong"))
+    along = Window.partitionBy(*by).orderBy("pos")
+    hit = hit.withColumn("new", F.coalesce((F.col("pos") > F.lag("pos").over(along) + SPAN).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(along))
+    return hit.groupBy(*by, "run").agg(
+        F.min("pos").alias("first_word"), (F.max("pos") + F.lit(SPAN - 1)).alias("last_word"), F.count("*").alias("windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("wrong")))).alias("replaced"), F.max(F.size("wrong") == 0).alias("exact")).drop("run")
 
 
 def leaked_pairs(tests: DataFrame, documents: DataFrame, exact: bool = True) -> DataFrame:
@@ -133,10 +146,10 @@ def leaked_pairs(tests: DataFrame, documents: DataFrame, exact: bool = True) ->
 
     With ``exact=False``, words at ignored positions may differ.
     """
-    found = overlaps(tests, documents)
+    found = _hits(tests, documents)
     if exact:
-        found = found.where("exact")
-    return found.select("doc_id", "class").distinct().join(_case_classes(_given(tests)), "class").select("doc_id", "case_id")
+        found = found.where("size(wrong) = 0")
+    return found.select("doc_id", "class").distinct().join(_case_classes(_given(tests)).hint("merge"), "class").select("doc_id", "case_id")
 
 
 def _given(tests: DataFrame) -> DataFrame:
@@ -144,8 +157,9 @@ def _given(tests: DataFrame) -> DataFrame:
 
 
 def leak_report(tests: DataFrame, documents: DataFrame) -> DataFrame:
-    """Per (doc_id, case_id): longest overlap in words, its share of the test text, and whether it is exact over ``SPAN`` words."""
+    """Per (doc_id, case_id): the longest overlap in words, how many of them are replaced, its share of the test text, and whether any overlap is exact over ``SPAN`` words."""
+    length = F.expr("last_word - first_word + 1")
     best = overlaps(tests, documents).groupBy("doc_id", "class").agg(
-        F.max(F.expr("last_word - first_word + 1")).alias("words"), F.max("exact").alias("exact"), F.sum("windows").alias("windows"))
-    return best.join(_case_classes(_given(tests)), "class").select(
-        "doc_id", "case_id", "words", F.round(F.least(F.col("words") / F.col("n_words"), F.lit(1.0)), 4).alias("share"), "exact", "windows")
+        F.max(length).alias("words"), F.min_by("replaced", F.struct(-length, "replaced")).alias("replaced"), F.max("exact").alias("exact"), F.sum("windows").alias("windows"))
+    return best.join(_case_classes(_given(tests)).hint("merge"), "class").select(
+        "doc_id", "case_id", "words", "replaced", F.round(F.least(F.col("words") / F.col("n_words"), F.lit(1.0)), 4).alias("share"), "exact", "windows")

@@ -6,7 +6,9 @@ text fall to the others in proportion).  A source's budget is used up in complet
 weighted sample without replacement: each document has the key -ln(u)/w, with u from a hash of its id and w its quality,
 and documents are taken in key order while their running sum of tokens fits.
 
-The running sum never sorts a source in one task: keys are cut into ``BUCKETS`` fixed ranges per source, the ranges'
+The running sum never sorts a source in one task: keys are cut into ``BUCKETS`` ranges per source that hold about as many
+documents each.  For that, a source's documents are counted by quality, in ``STEPS`` steps; the share of documents with a
+smaller key then follows from the exponential law, and the range is that share.  The ranges'
 sums (a table of at most sources x BUCKETS rows) are summed up, and only the one range where the budget ends is ordered
 document by document.
 
@@ -34,6 +36,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how that tokenizer splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 1 << 16
+STEPS = 32
 
 
 @lru_cache(maxsize=4)
@@ -52,9 +55,7 @@ def _sizes(file: str, seed: int):
         u = (vec.mix(vec.string_keys(batch["doc_id"].cast(pa.string())) ^ np.uint64(seed)) >> np.uint64(11)).astype(np.float64) / 2.0**53
         weight = quality(batch["text"])
         key = -np.log(np.maximum(u, 1e-300)) / weight
-        # the key's share of an exponential with the least weight: monotone in the key, in [0, 1)
-        bucket = np.minimum((-np.expm1(-key)) * BUCKETS, BUCKETS - 1).astype(np.int32)
-        return {"doc_id": batch["doc_id"], "source": batch["source"], "n_tokens": pa.array(n), "quality": pa.array(weight), "key": pa.array(key), "bucket": pa.array(bucket)}
+        return {"doc_id": batch["doc_id"], "source": batch["source"], "n_tokens": pa.array(n), "quality": pa.array(weight), "key": pa.array(key)}
 
     return fn
 
@@ -73,12 +74,21 @@ def quality(texts: pa.Array) -> np.ndarray:
 
 
 def sized(documents: DataFrame, tokenizer: str = TOKENIZER, seed: int = 7) -> DataFrame:
-    """(doc_id, source, n_tokens, quality, key, bucket) of documents (doc_id, source, text)."""
+    """(doc_id, source, n_tokens, quality, key) of documents (doc_id, source, text)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, source string, n_tokens long, quality double, key double, bucket int"
+    schema = f"doc_id {kind}, source string, n_tokens long, quality double, key double"
     return map_arrow(documents.select("doc_id", "source", "text").where("doc_id is not null"), _sizes(tokenizer, seed), schema)
 
 
+def ranged(docs: DataFrame) -> DataFrame:
+    """Adds ``bucket``, the range a document's key lies in among its source's; larger keys are never in smaller ranges."""
+    step = F.least(F.floor(F.col("quality") * STEPS), F.lit(STEPS - 1))
+    steps = docs.groupBy("source", step.alias("step")).agg(F.count("*").alias("n"), F.avg("quality").alias("w"))
+    law = steps.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("w", "n"))).alias("law"), F.sum("n").alias("all"))  # at most STEPS of a source
+    smaller = F.aggregate("law", F.lit(0.0), lambda acc, x: acc + x["n"] * (1 - F.exp(-x["w"] * F.col("key")))) / F.col("all")
+    return docs.join(law, "source").withColumn("bucket", F.least(F.floor(smaller * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).drop("law", "all")
+
+
 def plan(tokens: dict[str, int], targets: list[tuple[str, float | None, int | None]], total: int | None) -> list[tuple]:
     """Per target source: (source, share, max_repeats, epochs, rest), for the total or the largest that can be met."""
     clean = {s: (max(float(x), 0.0) if x is not None and x == x else 0.0, max(int(m), 0) if m is not None else 1) for s, x, m in targets if s is not None}
@@ -102,7 +112,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, toke
     spark = documents.sparkSession
     targets = targets.select("source", "target_share", "max_repeats").where("source is not null").dropDuplicates(["source"])
     # duplicate ids of targets aside, the target table says how many sources there are; the driver holds one row per source
-    docs = cut(sized(documents, tokenizer, seed).join(targets.select("source"), "source"))
+    docs = ranged(cut(sized(documents, tokenizer, seed).join(targets.select("source"), "source")))
     sums = docs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))
     tokens = {r[0]: int(r[1] or 0) for r in docs.groupBy("source").agg(F.sum("n_tokens")).collect()}
     rows = plan(tokens, [tuple(r) for r in targets.collect()], total)

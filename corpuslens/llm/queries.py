@@ -100,13 +100,14 @@ def p7_paths(spark: SparkSession, d: str) -> DataFrame:
     return markup.path_scores(_answers(spark, d))
 
 
-def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+def p9_mix(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
+    """``tokenizer``: vocabulary file; by default the session's ``corpuslens.tokenizer``, else a public one."""
+    file = tokenizer or spark.conf.get("corpuslens.tokenizer", mixing.TOKENIZER)
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=file)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "mix_targets")
-    return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:

@@ -110,6 +110,21 @@ def test_leaks(spark):
     assert (4, "t1") in loose and got <= loose
 
 
+def test_overlaps_end_at_gaps(spark):
+    """Overlaps of one diagonal with a gap are two; replaced words are counted where a mask ignores them."""
+    text = W[:40]
+    doc = list(text)
+    for i in range(12, 24):
+        doc[i] = V[i]
+    doc[30] = V[30]
+    tests = spark.createDataFrame([("t", " ".join(text))], "case_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string")
+    got = sorted((r["first_word"], r["last_word"], r["replaced"], r["exact"]) for r in leaks.overlaps(tests, docs).where("shift = 0").collect())
+    assert got == [(0, 11, 0, True), (24, 39, 1, True)]
+    report = leaks.leak_report(tests, docs).collect()
+    assert [(r["words"], r["replaced"], r["share"], r["exact"]) for r in report] == [(16, 1, 0.4, True)]
+
+
 def test_cross_split(spark):
     rows = [("x1", W[:30], "dev", ["r"]), ("y1", W[:28] + V[:2], "test", ["r"]), ("y2", W[5:12], "test", ["r"]), ("y3", W[5:12], "test", ["q"]), ("y4", V[:30], "test", None), ("y5", W[:7], "test", []), ("x2", W[:6], "dev", [None, "r"]), ("z", W[:30], None, ["r"]), ("y6", None, "test", ["r"])]
     df = spark.createDataFrame([(i, " ".join(w) if w else None, s, r, "k") for i, w, s, r in rows] * 2, "case_id string, text string, split string, relevant array<string>, source string")

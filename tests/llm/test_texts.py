@@ -246,6 +246,32 @@ def test_mixture_tells_right_from_wrong():
             assert abs((p * counts)[cells].sum() - truth[cells].sum()) < 0.12 * counts[cells].sum()
 
 
+def test_sampling_follows_weights(spark):
+    """Documents come in with the probabilities of the exponential law, and key ranges hold about as many documents each."""
+    n, low = 6000, 0.2
+    rng = np.random.default_rng(9)
+    key = rng.exponential(size=n) / np.where(np.arange(n) % 2, 1.0, low)
+    rows = [(int(i), "s", 10, 1.0 if i % 2 else low, float(key[i])) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, quality double, key double")
+    got = mixing.ranged(docs).toPandas().sort_values("key")
+    assert (got["bucket"].diff().dropna() >= 0).all()
+    thousandths = np.bincount(got["bucket"] * 1000 // mixing.BUCKETS, minlength=1000)
+    assert thousandths.max() < 30 and thousandths[-1] < 20
+    words = " ".join(f"كلمة{i}" for i in range(12))
+    texts = [(int(i), "s", words if i % 2 else " ".join(["كلمة0"] * 12)) for i in range(1500)]
+    documents = spark.createDataFrame(texts, "doc_id long, source string, text string")
+    weight = np.array([mixing.quality(pa.array([t]))[0] for _, _, t in texts])
+    sizes = mixing.sized(documents).toPandas().sort_values("doc_id")["n_tokens"].to_numpy()
+    budget = int(0.4 * sizes.sum())
+    chosen = {r["doc_id"] for r in mixing.mix(documents, spark.createDataFrame([("s", 1.0, 3)], "source string, target_share double, max_repeats int"), total=budget).collect()}
+    law = lambda t: 1 - np.exp(-t * weight)
+    grid = np.linspace(0, 20, 4001)
+    t = grid[np.searchsorted([(law(g) * sizes).sum() for g in grid], budget)]
+    for odd in (0, 1):
+        mine = np.arange(1500) % 2 == odd
+        assert abs(np.mean([i in chosen for i in np.flatnonzero(mine)]) - law(t)[mine].mean()) < 0.06
+
+
 @pytest.mark.parametrize("name", ["p1_matches", "p5_entities", "p6_normalized", "p7_clean", "p7_paths", "p9_shares", "p10_makeup"])
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
