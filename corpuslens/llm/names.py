@@ -2,7 +2,9 @@
 
 A name is [teknonym] own name - father - grandfather [origin] [epithet], in any of the orders and cuts people write.
 Rules rewrite it: spelling of letters, forms of "father of" and "son of", joined compounds, order (origin first, teknonym
-last), nicknames, and one slip of the pen in a rare word (found by deletion neighbourhoods among all words).  Whole names
+last), titles (the legal form of a person's name) left out, an initial for the own name or the father's, nicknames, and one
+slip of the pen in a rare word, found by deletion neighbourhoods among all words: a string with one letter less is that of
+at most (its length + 1) x (letters of the alphabet) words, so no neighbourhood is hot, whatever the table.  Whole names
 give the entities; each entity is exploded into every form its name may be cut to, each written name into its rewritings,
 and both are joined on the form.
 
@@ -11,6 +13,10 @@ to an entity only if its cheapest rewritings lead to one.  Entities that are a s
 through a word that is rare itself, are spellings of that one; words that are common by themselves are never slips of
 each other, so brothers and namesakes stay apart.
 
+A name may have any number of forefathers and of words left over; those beyond the grandfather and the second count as
+parts of these.  Spellings of a spelling are followed to the end.  Names that no whole name's forms explain are grouped by
+their own canonical form.
+
 Strings are counted once, before anything else (one string may hold a large part of the rows).  NULL names and bare
 relatives are left out; names without letters link to nothing.
 """
@@ -30,6 +36,8 @@ RARE = 20  # how much more frequent the right word is where a whole name is take
 NICK = 3  # the same for nicknames
 # Words of the name grammar, letters folded.
 SON, FATHER_OF, COMPOUND = {"بن", "ابن"}, {"ابو", "ابا", "ابي"}, {"عبد", "عبيد"}
+# Titles before a name, letters folded.
+TITLES = {"الشيخ", "الامام", "الحافظ", "السيد", "الاستاذ", "الدكتور", "القاضي", "سيدنا", "مولانا"}
 # Nickname patterns on the letters of a name; "1", "2", "3" stand for its first consonants, long vowels apart.
 NICKNAMES = ("12و3", "1و23", "12ي3", "1و2ي3", "123ه", "12ي3ه", "12و3ه", "12ا3", "12وش", "12ون", "123ون", "123و")
 _LONG = set("اوي")
@@ -42,6 +50,8 @@ def _words(name: str) -> list[str]:
 def parse(name: str) -> dict | None:
     """Fields k, i, f, g (words of the chain) and t (words left over, origin or epithet), or None."""
     words, out = _words(name), []
+    while len(words) > 1 and words[0] in TITLES and words[1] not in SON:
+        words.pop(0)
     i = 0
     while i < len(words):  # compounds become one word
         w = words[i]
@@ -78,8 +88,9 @@ def parse(name: str) -> dict | None:
     tail = head + tail
     if not chain and not tail and k is None:
         return None
-    chain = [*chain[:3], None, None, None][:3]
-    return {"k": k, "i": chain[0], "f": chain[1], "g": chain[2], "t": tail[:2]}
+    more = lambda parts, at: [*parts[:at], " ".join(parts[at:])] if len(parts) > at + 1 else parts
+    chain, tail = [*more(chain, 2), None, None, None], more(tail, 1)
+    return {"k": k, "i": chain[0], "f": chain[1], "g": chain[2], "t": tail}
 
 
 def nicknames(word: str) -> set[str]:
@@ -145,11 +156,11 @@ def corrections(parsed: DataFrame) -> DataFrame:
     words = of("name", "k", "i", "f", "g").union(of("tail", "t1", "t2")).groupBy("kind", "word").agg(F.sum("n").alias("rows"))
     near = map_arrow(words, _around, "kind string, near string, word string, rows long")
     many = near.select("kind", "near", F.col("word").alias("right"), F.col("rows").alias("much"))
-    slips = near.join(many, ["kind", "near"]).where(F.col("word") != F.col("right")).select("kind", "word", "right", (F.col("much") / F.col("rows")).alias("ratio")).distinct()
+    slips = near.join(many.hint("merge"), ["kind", "near"]).where(F.col("word") != F.col("right")).select("kind", "word", "right", (F.col("much") / F.col("rows")).alias("ratio")).distinct()
     slips = map_arrow(slips, _check, "kind string, word string, right string, ratio double").withColumn("cost", F.lit(2))
     names = words.where("kind = 'name'")
     nick = map_arrow(names, _nicks, "near string, word string, rows long").select(F.col("near").alias("word"), F.col("word").alias("right"), F.col("rows").alias("much"))
-    nick = names.join(nick, "word").select("kind", "word", "right", (F.col("much") / F.col("rows")).alias("ratio"), F.lit(1).alias("cost")).where(F.col("ratio") >= NICK)
+    nick = names.join(nick.hint("merge"), "word").select("kind", "word", "right", (F.col("much") / F.col("rows")).alias("ratio"), F.lit(1).alias("cost")).where(F.col("ratio") >= NICK)
     both = slips.union(nick).groupBy("kind", "word", "right").agg(F.min("cost").alias("cost"), F.max("ratio").alias("ratio"))
     # a slip in an origin is told by the rest of the name; in a name, the word itself must be rare
     return both.withColumn("sure", F.expr(f"kind = 'tail' or ratio >= {RARE} or (cost = 1 and ratio >= {NICK})"))
@@ -159,7 +170,7 @@ def rewritings(parsed: DataFrame, right: DataFrame) -> DataFrame:
     """Each parsed name as it is (cost 0) and with one word put right."""
     parts = [parsed.select("name", "n", *FIELDS, F.lit(0).alias("cost"), F.lit(True).alias("sure"))]
     long = parsed.select("name", "n", *FIELDS, F.explode(F.array(*[F.struct(F.lit(c).alias("at"), F.lit("tail" if c[0] == "t" else "name").alias("kind"), F.col(c).alias("word")) for c in FIELDS])).alias("x")).select("*", "x.at", "x.kind", "x.word").drop("x").where("word is not null")
-    fixed = long.join(right, ["kind", "word"])
+    fixed = long.join(right.hint("merge"), ["kind", "word"])
     parts.append(fixed.select("name", "n", *[F.when(F.col("at") == c, F.col("right")).otherwise(F.col(c)).alias(c) for c in FIELDS], "cost", "sure"))
     return parts[0].union(parts[1])
 
@@ -168,6 +179,15 @@ def rewritings(parsed: DataFrame, right: DataFrame) -> DataFrame:
 CUTS = ("ifg", "ifn", "ifl", "if", "in", "il", "n", "l", "kn", "kl", "fn", "kif", "kifg", "kifn", "kifl", "ifgl", "ifgn", "ki", "kin", "kil", "fl", "k")
 
 
+# The cuts of which own name or father's may be an initial.
+INITIALS = ("ifg", "ifn", "ifl", "if", "in")
+
+
+def _initial(fields: str, get, at: str) -> F.Column:
+    """A form with one field as its first letter."""
+    return _form(fields, lambda c: F.substring(get(c), 1, 1) if c == at else get(c))
+
+
 def _form(fields: str, get) -> F.Column:
     parts = [get(c) for c in fields]
     present = parts[0].isNotNull()
@@ -192,6 +212,20 @@ def _written_forms() -> F.Column:
     )
 
 
+def _followed(weak: DataFrame) -> DataFrame:
+    """(was, into) followed to the end: ``into`` always has more rows, or as many and a smaller key, so there is one.
+
+    Each round doubles the steps taken; the driver sees one number a round.
+    """
+    while True:
+        weak = cut(weak)
+        again = weak.select(F.col("was").alias("into"), F.col("into").alias("further"))
+        stepped = weak.join(again.hint("merge"), "into", "left")
+        if stepped.where("further is not null").limit(1).count() == 0:
+            return weak
+        weak = stepped.select("was", F.coalesce("further", "into").alias("into"))
+
+
 def entities(names: DataFrame) -> DataFrame:
     """(name, entity, score): the entity each written name (name; rows) is linked to."""
     counted = names.where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
@@ -204,27 +238,29 @@ def entities(names: DataFrame) -> DataFrame:
     # whole names one slip or nickname away from a far more frequent entity are spellings of it
     moved = written.where(whole & (F.col("cost") > 0) & F.col("sure")).select("name", "cost", core.alias("entity")).join(people.select("entity", F.col("rows").alias("much")), "entity")
     own = parsed.where(whole).select("name", core.alias("was")).join(people.select(F.col("entity").alias("was"), "rows"), "was")
-    moved = moved.join(own, "name").where((F.col("entity") != F.col("was")) & ((F.col("much") > F.col("rows")) | ((F.col("much") == F.col("rows")) & (F.col("entity") < F.col("was")))))
+    moved = moved.join(own.hint("merge"), "name").where((F.col("entity") != F.col("was")) & ((F.col("much") > F.col("rows")) | ((F.col("much") == F.col("rows")) & (F.col("entity") < F.col("was")))))
     weak = moved.groupBy("was").agg(F.min_by("entity", F.struct("cost", -F.col("much"), "entity")).alias("into"))
-    again = weak.select(F.col("was").alias("into"), F.col("into").alias("further"))
-    weak = weak.join(again, "into", "left").select("was", F.coalesce("further", "into").alias("into"))
-    people = cut(people.join(weak, F.col("entity") == F.col("was"), "left").drop("was"))
+    weak = _followed(weak)
+    people = cut(people.join(weak.hint("merge"), F.col("entity") == F.col("was"), "left").drop("was"))
     solid = people.where("into is null")
     # what a whole name says itself
     direct = own.join(people.select(F.col("entity").alias("was"), F.coalesce("into", "entity").alias("entity")), "was").select("name", "entity", F.lit(1.0).alias("score"))
     get = {"k": F.col("k"), "i": F.col("i"), "f": F.col("f"), "g": F.col("g"), "n": F.col("t1"), "l": F.col("t2")}
-    forms = solid.select("entity", F.explode(F.array_compact(F.array(*[_form(c, get.__getitem__) for c in CUTS]))).alias("form"))
+    written_as = [_form(c, get.__getitem__) for c in CUTS] + [_initial(c, get.__getitem__, at) for c in INITIALS for at in c if at in "if"]
+    forms = solid.select("entity", F.explode(F.array_distinct(F.array_compact(F.array(*written_as)))).alias("form"))
     shared = forms.groupBy("form").agg(F.count("*").alias("entities"), F.min("entity").alias("entity"))
     part = written.where(~F.coalesce(whole, F.lit(False))).select("name", "cost", F.explode(_written_forms()).alias("form"))
-    met = part.join(shared, "form")
+    met = part.join(shared.hint("merge"), "form")
     best = met.withColumn("least", F.min("cost").over(Window.partitionBy("name"))).where("cost = least")
     linked = best.groupBy("name").agg(F.sum("entities").alias("all"), F.max("entities").alias("most"), F.min("entity").alias("a"), F.max("entity").alias("b"), F.min("cost").alias("cost"))
     linked = linked.where("most = 1 and a = b").select("name", F.col("a").alias("entity"), (1 / F.col("all") / (1 + F.col("cost") * 0.25)).alias("score"))
-    return direct.union(linked)
+    rest = parsed.join(met.select("name").distinct(), "name", "left_anti").where(~F.coalesce(whole, F.lit(False)))
+    alike = rest.select("name", F.concat_ws("|", *[F.concat(F.lit(f"{c}:"), c) for c in FIELDS]).alias("entity"), F.lit(0.5).alias("score"))
+    return direct.union(linked).union(alike)
 
 
 def pairs(linked: DataFrame) -> DataFrame:
     """(name_a, name_b) of different strings of one entity, name_a < name_b by code point."""
     a = linked.select("entity", F.col("name").alias("name_a")).distinct()
     b = linked.select("entity", F.col("name").alias("name_b")).distinct()
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b").distinct()
+    return a.join(b.hint("merge"), "entity").where("name_a < name_b").select("name_a", "name_b").distinct()

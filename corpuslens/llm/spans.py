@@ -145,6 +145,6 @@ def coverage(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     sizes = map_arrow(records.select("table_name", "rec_id", "text").where("rec_id is not null"), count, "table_name string, rec_id string, n_words long").distinct()
     shared = shared_spans(records, min_words).groupBy("table_name", "rec_id").agg(F.sum(F.expr("last_word - first_word + 1")).alias("shared_words"))
     n = F.coalesce("shared_words", F.lit(0))
-    return sizes.join(shared, ["table_name", "rec_id"], "left").select(
+    return sizes.join(shared.hint("merge"), ["table_name", "rec_id"], "left").select(
         "table_name", "rec_id", "n_words", n.alias("shared_words"), F.round(F.when(F.col("n_words") > 0, n / F.col("n_words")).otherwise(0.0), 4).alias("shared_share")
     )

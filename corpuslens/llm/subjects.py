@@ -216,7 +216,7 @@ def classify(documents: DataFrame, labels: DataFrame, names: list[str], rounds:
     words = map_arrow(documents.select("doc_id", "text").where("doc_id is not null and text is not null"), encoded, f"doc_id {kind}, words binary")
     number = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(1 << i))])
     bits = labels.select("doc_id", F.element_at(number, F.col("subject")).alias("bit")).where("doc_id is not null and bit is not null").groupBy("doc_id").agg(F.expr("bit_or(bit)").alias("labels"))
-    docs = cut(words.join(bits, "doc_id", "left").withColumn("labels", F.coalesce("labels", F.lit(0)).cast("int")))
+    docs = cut(words.join(bits.hint("merge"), "doc_id", "left").withColumn("labels", F.coalesce("labels", F.lit(0)).cast("int")))
     rarity = rarities(docs)
     counts = _count(docs.where("labels <> 0"), k, None)
     for i in range(rounds):

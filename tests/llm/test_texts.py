@@ -126,6 +126,49 @@ def test_variants_link_and_brothers_do_not(spark):
 
 
 # --- subjects
+def test_nothing_of_a_name_is_lost():
+    p = names.parse("الشيخ زيد بن عمرو بن بكر بن خالد بن سعد الهاشمي المدني الضرير")
+    assert (p["i"], p["f"], p["g"], p["t"]) == ("زيد", "عمرو", "بكر خالد سعد", ["الهاشمي", "المدني الضرير"])
+    assert names.parse("الشيخ") is not None and names.parse("م بن عمرو")["i"] == "م"
+
+
+def test_initials_titles_and_spellings_of_spellings(spark):
+    whole = "زيدان بن عمروس بن بكران الهاشمي"
+    rows = [whole] * 40 + ["ز بن عمروس الهاشمي", "الشيخ زيدان بن عمروس", "حنظلة", "حَنظلة"] + ["خالدون بن سعدان بن نصران المدني"] * 40
+    got = {r["name"]: r["entity"] for r in names.entities(spark.createDataFrame([(r,) for r in rows], "name string")).collect()}
+    assert got["ز بن عمروس الهاشمي"] == got["الشيخ زيدان بن عمروس"] == got[whole]
+    assert got["حنظلة"] == got["حَنظلة"] != got[whole] and got["خالدون بن سعدان بن نصران المدني"] != got[whole]
+    chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "e")], "was string, into string")
+    assert {tuple(r) for r in names._followed(chain).collect()} == {("a", "e"), ("b", "e"), ("c", "e"), ("d", "e"), ("x", "e")}
+    assert names._followed(chain.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sf,low,high", [("sf0.001", 60, 320), ("sf0.01", 900, 1700), ("sf0.1", 10000, 16000)])
+def test_subjects_on_tables_of_every_size(spark, sf, low, high):
+    """Calibration neither diverges nor gives every document to every subject."""
+    d = f"/root/testdata/{sf}"
+    found = queries.p10_found(spark, d).toPandas()
+    labels = spark.read.parquet(f"{d}/subject_labels.parquet").where("subject is not null").select("doc_id", "subject").distinct().toPandas()
+    assert low <= len(found) <= high
+    got, said = set(map(tuple, found[["doc_id", "subject"]].values)), set(map(tuple, labels.values))
+    docs = set(labels["doc_id"])
+    inside = {x for x in got if x[0] in docs}
+    assert len(got) == len(found) and len(inside & said) > 0.8 * len(inside) and len(inside & said) > 0.8 * len(said)
+
+
+def test_calibration_stays_bounded():
+    rng = np.random.default_rng(2)
+    n = np.full(103, 200.0)
+    for clean in (True, False):
+        mass = np.zeros((103, 10))
+        mass[np.arange(103), rng.integers(0, 10, 103)] = 150.0 if clean else rng.uniform(0, 200, 103)
+        y = (mass > (75 if clean else 100)).astype(int)
+        w = subjects.fit_curves(mass, n, y)
+        assert np.abs(w).max() <= 50 and np.isfinite(w).all()
+        p = 1 / (1 + np.exp(-(subjects.features(mass, n) * w[None]).sum(-1)))
+        assert ((p >= 0.5) == y).mean() > 0.97
+
+
 def test_subjects_held_out(spark):
     rnd = random.Random(1)
     topics = {s: [f"{s}{c}" for c in "abcdefghij"] for s in ("trade", "law", "sky")}
