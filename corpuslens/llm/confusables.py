@@ -30,11 +30,12 @@ LATIN_LOOKALIKES = {
     "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj"),
     "Armenian": ("ՕՍԼոսհցզ", "OULnuhgq"),
 }
-# Letters and digits of other scripts drawn like an Arabic letter or digit.
-TO_ARABIC = {"ߊ": "ا", "|": "ا"}
+# Letters of right-to-left scripts that are drawn alike.
+RIGHT_TO_LEFT = ({"Arabic": "ا", "Nko": "ߊ", "Hebrew": "ן"}, {"Arabic": "ه", "Hebrew": "ס"})
 _INVISIBLE = frozenset(INVISIBLE)
 _SPACES = frozenset(c for c in WHITE.tolist() if c not in (0x20, 0x0A, 0x0D, 0x09))
 _SCRIPT = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Arabic", "Latin", "Cyrillic", "Greek", "Armenian", "Hebrew", "Syriac", "Thaana", "Nko")}
+_SHAPES = {c: shape for shape in RIGHT_TO_LEFT for c in shape.values()}
 _TO_LATIN = {a: (b, s) for s, (x, y) in LATIN_LOOKALIKES.items() for a, b in zip(x, y)}
 _FROM_LATIN = {s: {b: a for a, b in zip(x, y)} for s, (x, y) in LATIN_LOOKALIKES.items()}
 
@@ -51,7 +52,7 @@ def spellings(ch: str) -> dict[str, str]:
     own = script(ch)
     if not own:
         return {}
-    out = {own: ch}
+    out = {own: ch} | _SHAPES.get(ch, {})
     if ch in _TO_LATIN:
         latin = _TO_LATIN[ch][0]
         out["Latin"] = latin
@@ -93,7 +94,7 @@ def consistent(text: str | None) -> str | None:
     if not text:
         return text
     out = unicodedata.normalize("NFC", "".join(map(_plain_char, text)))
-    if regex.search(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}]", out):
+    if regex.search(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}\p{Hebrew}\p{Nko}]", out):
         counts: dict[str, int] = {}
         for c in out:
             s = script(c)
@@ -110,7 +111,7 @@ def suspects() -> np.ndarray:
     for a, b in ((0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x10000), (0x1D000, 0x1F300), (0x2F800, 0x2FA20), (0xE0000, 0xE1000)):
         for cp in range(a, b):
             ch = chr(cp)
-            t[cp] = _plain_char.__wrapped__(ch) != ch or (unicodedata.combining(ch) and cp not in _SAFE_MARKS) or ch in _TO_LATIN
+            t[cp] = _plain_char.__wrapped__(ch) != ch or (unicodedata.combining(ch) and cp not in _SAFE_MARKS) or ch in _TO_LATIN or (ch in _SHAPES and script(ch) != "Arabic")
     return t
 
 

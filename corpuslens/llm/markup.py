@@ -56,6 +56,7 @@ _OPENS = {"p": "\n", "div": "\n", "br": "\n", "hr": "\n", "ul": "\n", "ol": "\n"
 _CLOSES = {**_OPENS, "li": "", **{f"h{i}": "\n" for i in range(1, 7)}}
 
 
+@lru_cache(maxsize=1 << 14)
 def _kind(attributes: str) -> str:
     m = _CLASS.search(attributes)
     return next((x for x in m.groups() if x is not None), "").strip().lower() if m else ""
@@ -150,6 +151,7 @@ class Answer:
             i = end
 
 
+@lru_cache(maxsize=1 << 14)
 def label_of(text: str) -> str | None:
     """The field a known label names."""
     return LABELS.get(_SPACE.sub(" ", decoded(text)).strip().rstrip(":").strip())

@@ -23,7 +23,7 @@ def spark_free_texts():
 @pytest.mark.parametrize(
     "text,plain",
     [
-        ("كتاب", None), ("کتاب", "كتاب"), ("ﻛﺘﺎﺏ", "كتاب"), ("كت​اب", "كتاب"), ("كتاب علم", "كتاب علم"), ("أحمد", "أحمد"), ("ش\u064e\u0651", None), ("ض\u0651\u064e", "ض\u064e\u0651"), ("١٢ 12", None), ("۱", "١"), ("۴", None), ("كـتاب", None), ("paypal раураl", "paypal paypal"), ("", None),
+        ("كتاب", None), ("کتاب", "كتاب"), ("ﻛﺘﺎﺏ", "كتاب"), ("كت​اب", "كتاب"), ("كتاب علم", "كتاب علم"), ("أحمد", "أحمد"), ("ش\u064e\u0651", None), ("ض\u0651\u064e", "ض\u064e\u0651"), ("١٢ 12", None), ("۱", "١"), ("۴", None), ("كـتاب", None), ("paypal раураl", "paypal paypal"), ("كتߊب علم", "كتاب علم"), ("كتןب", "كتاب"), ("كتاب علم نافع שלום ןס", "كتاب علم نافع שלום اه"), ("שלום ן", None), ("", None),
     ],
 )
 def test_consistent_form(text, plain):
