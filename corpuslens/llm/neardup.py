@@ -289,11 +289,16 @@ def class_pairs(records: DataFrame, neighbourhoods: bool | None = None) -> DataF
     differ = F.when(i_size >= LARGE, halves).otherwise(folded)  # the index side is the smaller one
     capped = p_size == 65535  # sizes that don't fit are told apart when verified
     met = probes.join(index.hint("merge"), "key").where(capped | ((i_size <= p_size) & (i_size >= most) & (differ <= p_size + i_size - most * 2)))
-    # a pair is named by its whole signatures; texts of one family share single words of them
+    # a pair is named by its whole signatures; texts of one family share single words of them.  Texts of one size find each
+    # other both ways, of which one will do; a text meets itself in all its keys, and so do texts of one signature, which
+    # are brought together by it instead
     whole = lambda s: F.xxhash64(*[F.col(f"{s}{c}") for c in SIGS])
-    met = met.select(whole("p_").alias("p_text"), whole("i_").alias("i_text")).distinct()
+    met = met.select(whole("p_").alias("p_text"), whole("i_").alias("i_text"), (capped | (i_size < p_size)).alias("longer"))
+    met = met.where("p_text <> i_text and (longer or p_text < i_text)").select("p_text", "i_text").distinct()
     side = lambda s: texts.select(whole("").alias(f"{s}_text"), *[F.col(c).alias(f"{s}_{c}") for c in ("class", "size", "tokens")])
-    pairs = met.join(side("p").hint("merge"), "p_text").join(side("i").hint("merge"), "i_text").where("p_class <> i_class")
+    pairs = met.join(side("p").hint("merge"), "p_text").join(side("i").hint("merge"), "i_text").drop("p_text", "i_text")
+    twins = side("p").hint("merge").join(side("i").hint("merge"), F.col("p_text") == F.col("i_text")).where("p_class < i_class").drop("p_text", "i_text")
+    pairs = pairs.unionByName(twins)
     near = map_arrow(pairs.select("p_class", "i_class", "p_size", "i_size", "p_tokens", "i_tokens"), _verify, "class_a long, class_b long, n long, longest long")
     return near.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "n", "longest").distinct()
 

@@ -101,6 +101,20 @@ def test_factors_are_longest_matches(spark):
     assert spans.parse(words, [(0, 1, 0), (1, 2, 2), (2, 2, 3), (15, 3, 0)], {1: short, 2: far, 3: np.arange(50, 80)}, 12) == [(0, 12, 1, 0), (2, 24, 2, 3)]
 
 
+def test_texts_of_one_signature_meet(spark):
+    """A word replaced by one of the same signature bit leaves the signature as it is."""
+    rows = [f"{a}{b}{c}" for a in "بتثجحخد" for b in "رزسشصض" for c in "كلمنه"]
+    batch = pa.RecordBatch.from_pydict({"rec_id": [str(i) for i in range(len(rows))], "text": [" ".join(W[:20] + [w]) for w in rows]})
+    row, value, size = neardup._unpack(neardup._tokens(batch)["tokens"])
+    sigs = {}
+    for i, sig in enumerate(zip(*neardup.signature(row, value, size))):
+        sigs.setdefault(tuple(map(int, sig)), []).append(i)
+    a, b = next(v for v in sigs.values() if len(v) > 1)[:2]
+    df = spark.createDataFrame([("a", " ".join(W[:20] + [rows[a]])), ("b", " ".join(W[:20] + [rows[b]])), ("c", " ".join(V[:20]))], "rec_id string, text string")
+    for neighbourhoods in (True, False):
+        assert [tuple(r) for r in neardup.found(df, neighbourhoods).collect()] == [("a", "b")]
+
+
 def test_leaks(spark):
     tests = spark.createDataFrame([("t1", " ".join(W[:20])), ("t2", " ".join(W[:20])), ("t3", " ".join(V[:7])), (None, TEXTS["a"]), ("t4", None)], "case_id string, text string")
     docs = spark.createDataFrame([(1, " ".join(V[30:40] + W[3:11] + V[:3]), "x"), (2, " ".join(W[3:10]), "x"), (3, None, "x"), (4, " ".join(W[0:4] + [V[9]] + W[5:12]), "x"), (5, LONG, "x"), (None, LONG, "x")], "doc_id long, text string, source string")
