@@ -49,6 +49,12 @@ def char_ngrams(normalized: Column, n: int = 3) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n)))))
 
 
+def gram_containment(q: Column, d: Column) -> Column:
+    """Share of a query's character 3-grams, with repetition, that a document has; 0 without any."""
+    grams, have = char_ngrams(q), F.array_distinct(char_ngrams(d))
+    return F.when(F.size(grams) > 0, F.size(F.filter(grams, lambda g: F.array_contains(have, g))) / F.size(grams)).otherwise(0.0)
+
+
 def stem(w: Column) -> Column:
     return F.regexp_replace(w, "^(" + "|".join(L.STEM_PREFIXES) + ")(?=..)", "")
 

@@ -142,3 +142,36 @@ def closest(cs: DataFrame, recs: DataFrame, k: int = 3) -> DataFrame:
     scored = both.withColumn("share", in_order("qn", "nm") / F.size(X.words(F.col("qn"))))
     w = Window.partitionBy("query").orderBy(F.desc("share"), F.desc("common"), "doc")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "doc", F.round("share", 2).alias("share"), "common")
+
+
+def gram_measures(pairs: DataFrame) -> DataFrame:
+    """(query, doc, containment, cosine) of pairs (query, doc, qn, nm): share of the query's 3-grams that the record has, and cosine of their counts; 0 without any."""
+    count = lambda c, n: pairs.select("query", "doc", F.explode(X.char_ngrams(F.col(c))).alias("gram")).groupBy("query", "doc", "gram").agg(F.count("*").alias(n))
+    d = count("nm", "b")
+    both = count("qn", "a").join(d, ["query", "doc", "gram"], "left")
+    q = both.groupBy("query", "doc").agg(F.sum(F.when(F.col("b").isNotNull(), F.col("a"))).alias("inside"), F.sum("a").alias("all"), F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("aa"))
+    length = d.groupBy("query", "doc").agg(F.sum(F.col("b") * F.col("b")).alias("bb"))
+    whole = pairs.select("query", "doc").distinct().join(q, ["query", "doc"], "left").join(length, ["query", "doc"], "left")
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 5)
+    return whole.select("query", "doc", zero(F.col("inside") / F.col("all")).alias("containment"), zero(F.col("dot") / F.sqrt(F.col("aa").cast("double") * F.col("bb"))).alias("cosine"))
+
+
+def evidence(found: DataFrame, cs: DataFrame, recs: DataFrame) -> DataFrame:
+    """(query, doc, first_word, last_word, quote) of (query, doc): where the query's words first stand in a row in the body, as words of the stored text, quoted as stored.
+
+    Words are normalised one by one, so a phrase with a left-out phrase of honour inside it has no place; its row stays
+    with NULLs.  The first word may carry a one-letter conjunction.
+    """
+    stored = F.filter(F.split(X.cleaned(F.col("matn")), r"(?U)\s+"), lambda w: w != "")
+    placed = F.flatten(F.transform(stored, lambda w, i: F.transform(X.words(X.normalize(w, False)), lambda x: F.struct(x.alias("word"), i.alias("at")))))
+    q = cs.select(F.col("id").alias("query"), X.words(F.col("qn")).alias("ws"))
+    both = found.join(q, "query").join(recs.select(F.col("id").alias("doc"), "matn", placed.alias("placed")), "doc").withColumn("words", F.transform("placed", lambda x: x["word"]))
+    n = F.size("ws")
+    first = lambda i: F.element_at("words", i)
+    begins = lambda i: (first(i) == F.element_at("ws", 1)) | (first(i) == F.concat(F.lit("و"), F.element_at("ws", 1))) | (first(i) == F.concat(F.lit("ف"), F.element_at("ws", 1)))
+    goes_on = lambda i: F.slice("words", i + 1, n - 1) == F.slice("ws", F.lit(2), n - 1)
+    starts = F.filter(F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: begins(i) & goes_on(i))
+    at = both.where(n > 0).withColumn("start", F.try_element_at(starts, F.lit(1)))
+    a, b = F.element_at("placed", F.col("start"))["at"], F.element_at("placed", F.col("start") + n - 1)["at"]
+    at = at.withColumn("first_word", F.when(F.col("start").isNotNull(), a)).withColumn("last_word", F.when(F.col("start").isNotNull(), b))
+    return at.select("query", "doc", "first_word", "last_word", X.quote_words(F.col("matn"), F.col("first_word"), F.col("last_word") + 1).alias("quote"))

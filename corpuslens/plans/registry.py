@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 from ..functions import text as X
 from ..operators import chains, diff, evaluation, families, folding, generate, grades, index, parser, provenance, records, search, tree
+from ..sources import corpus, review
 from .sql import SQL
 
 BOOK = "wadi"
@@ -87,6 +88,29 @@ def phrase_containment(s, d):
     return index.containment(_c(s, d), _r(s, d))
 
 
+def evidence_spans(s, d):
+    """Where each query stands word for word in a record, as stored."""
+    return index.evidence(phrase_containment(s, d), _c(s, d), _r(s, d))
+
+
+def results_shown(s, d):
+    return search.shown(search_verify(s, d))
+
+
+def review_export(s, d):
+    return review.export(_c(s, d), closest_candidates(s, d))
+
+
+def book_catalogue(s, d):
+    return corpus.books(_r(s, d))
+
+
+def gram_measures(s, d):
+    """Gram containment and cosine of each case's query and each of its relevant records."""
+    c = _c(s, d).select(F.col("id").alias("query"), "qn", F.explode(F.array_distinct("relevant")).alias("doc"))
+    return index.gram_measures(c.join(_r(s, d).select(F.col("id").alias("doc"), "nm"), "doc"))
+
+
 def closest_candidates(s, d):
     return index.closest(_c(s, d), _r(s, d))
 
@@ -240,6 +264,12 @@ def incomplete_routes(s, d):
     return tree.incomplete(_family_routes(s, d))
 
 
+def visible_routes(s, d):
+    """Counts of each record's tree after only its shortest routes are left in view."""
+    rts = _routes(s, d)
+    return tree.summary(rts.join(tree.shortest(rts).select("id", "route_no"), ["id", "route_no"], "left_semi"))
+
+
 def routes_compared(s, d):
     return tree.compared(_routes(s, d))
 
@@ -369,7 +399,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     name_relations, routes_as_text, route_expand, find_narrator, routes_through, grade_match, grade_partition, grades_cache, grades_to_fetch,
     case_sources, record_cards, chain_parse, chain_parse_tree,
     search_metrics, verdict_metrics, search_threshold_report, completed_chains, corrected_names, sentence_facts, family_tree, family_branch_point,
-    family_summary, incomplete_routes, routes_compared, tagged_words, record_view, name_view,
+    family_summary, incomplete_routes, routes_compared, visible_routes, evidence_spans, results_shown, review_export, book_catalogue, gram_measures, tagged_words, record_view, name_view,
     route_tree_folded, word_diffs, partial_cases, spelling_cases, route_methods,
 )}
 

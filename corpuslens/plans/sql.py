@@ -98,6 +98,9 @@ _NAMEWORDS = f"nw AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_spli
 CARDS = f"""{RECS}, cl AS (SELECT *, {_clean('matn')} AS m, {_clean('grade')} AS g FROM recs), cards AS (SELECT id, book_title, regexp_replace(hadith_number, '\\.0$', '') AS number,
   CASE WHEN length(m) > 160 THEN left(m, 160) || '…' ELSE m END AS quote, CASE WHEN {' OR '.join(f"contains(g, '{w}')" for w in L.WITHHELD)} THEN '' ELSE g END AS grade, {' OR '.join(f"contains(g, '{w}')" for w in L.WITHHELD)} AS grade_withheld FROM cl)"""
 
+CONTAINED = """contained AS (SELECT c.id AS query, r.id AS doc FROM cs c JOIN recs r ON c.qn <> '' AND (contains(' ' || r.nm || ' ', ' ' || c.qn || ' ')
+  OR contains(' ' || r.nm || ' ', ' و' || c.qn || ' ') OR contains(' ' || r.nm || ' ', ' ف' || c.qn || ' ')))"""
+
 SQL: dict[str, str] = {
     "normalize_records": f"WITH {RECS} SELECT id, nm, regexp_replace(string_split(nm, ' ')[1], '^({_STEM})(..)', '\\2') AS first_stem FROM recs",
     "token_stats": f"WITH {RECS}, {POST} SELECT n, round(avgdl, 6) AS avgdl FROM st",
@@ -117,8 +120,7 @@ s1 AS (SELECT term, count(*) AS a FROM g1 GROUP BY term), s2 AS (SELECT alternat
 sh AS (SELECT term, alternative, count(*) AS common FROM g1 JOIN g2 USING (gram) GROUP BY term, alternative QUALIFY row_number() OVER (PARTITION BY term ORDER BY count(*) DESC, alternative) <= {L.FUZZY_CUT}),
 jc AS (SELECT term, alternative, common, common / (a + b - common) AS j FROM sh JOIN s1 USING (term) JOIN s2 USING (alternative))
 SELECT term, alternative, round(j, 3) AS weight, row_number() OVER (PARTITION BY term ORDER BY round(j, 3) DESC, common DESC, alternative) AS rank FROM jc WHERE j >= {L.FUZZY_FLOOR} QUALIFY rank <= {L.FUZZY_KEPT}""",
-    "phrase_containment": f"""WITH {RECS}, {CASES} SELECT c.id AS query, r.id AS doc FROM cs c JOIN recs r ON c.qn <> '' AND (contains(' ' || r.nm || ' ', ' ' || c.qn || ' ')
-  OR contains(' ' || r.nm || ' ', ' و' || c.qn || ' ') OR contains(' ' || r.nm || ' ', ' ف' || c.qn || ' '))""",
+    "phrase_containment": f"WITH {RECS}, {CASES}, {CONTAINED} SELECT query, doc FROM contained",
     "tfidf_weights": f"WITH {WEIGHTS} SELECT doc, count(*) AS grams, round(max(w), 5) AS largest FROM wt GROUP BY doc",
     "families_topk": f"WITH {NEAR.replace('qs AS', 'base AS').format(least=L.T_STORED)} SELECT doc, rank, other, similarity FROM near",
     "near_copies": f"""WITH {WEIGHTS}, sim AS (SELECT a.doc, b.doc AS other, sum(a.w * b.w) AS s FROM wt a JOIN wt b USING (gram) WHERE a.doc IN (SELECT id FROM recs WHERE pos % 100 = 0) AND a.doc <> b.doc GROUP BY ALL)
@@ -202,4 +204,21 @@ v AS (SELECT DISTINCT id, route_no, step, name, span_start, span_end, uncertain,
 SELECT v.id, route_no, step, name, CASE WHEN span_start IS NOT NULL THEN array_to_string(ws[span_start + 1:span_end], ' ') END AS quote, CASE WHEN uncertain THEN 'uncertain' ELSE 'high' END AS confidence,
   array_to_string(list_transform(list_filter(string_split(coalesce(join_kind, 'direct'), '+'), lambda p: p <> ''), lambda p: CASE p {_METHODS} ELSE p END), '; ') AS method
 FROM v JOIN w ON w.id = v.id""",
+    "visible_routes": f"""WITH {ROUTES}, a AS (SELECT *, len(names) AS k, bool_or(linked) OVER (PARTITION BY id) AS anyl FROM rts), b AS (SELECT *, min(k) OVER (PARTITION BY id) AS least FROM a WHERE linked = anyl)
+SELECT id, count(*) AS routes, count(DISTINCT CASE WHEN linked THEN names[1] END) AS companions, min(k) AS shortest FROM b WHERE k = least GROUP BY id""",
+    "book_catalogue": f"WITH {RECS} SELECT book, max(book_title) AS book_title, max(compiler) AS compiler, count(*) AS records FROM recs GROUP BY book",
+    "gram_measures": f"""WITH {RECS}, {CASES}, p AS (SELECT DISTINCT c.id AS query, c.qn, r.id AS doc, r.nm FROM (SELECT id, qn, unnest(relevant) AS rel FROM cs) c JOIN recs r ON r.id = c.rel),
+gq AS (SELECT query, doc, gram, count(*) AS a FROM (SELECT query, doc, substr(w, i::INT, 3) AS gram FROM (SELECT query, doc, w, unnest(range(1, greatest(length(w) - 2, 1) + 1)) AS i FROM (SELECT query, doc, ' ' || unnest(list_filter(string_split(qn, ' '), lambda x: x <> '')) || ' ' AS w FROM p))) GROUP BY ALL),
+gd AS (SELECT query, doc, gram, count(*) AS b FROM (SELECT query, doc, substr(w, i::INT, 3) AS gram FROM (SELECT query, doc, w, unnest(range(1, greatest(length(w) - 2, 1) + 1)) AS i FROM (SELECT query, doc, ' ' || unnest(list_filter(string_split(nm, ' '), lambda x: x <> '')) || ' ' AS w FROM p))) GROUP BY ALL),
+m AS (SELECT query, doc, sum(a) FILTER (b IS NOT NULL) AS inside, sum(a) AS alla, sum(a * b) AS dot, sum(a * a) AS aa FROM gq LEFT JOIN gd USING (query, doc, gram) GROUP BY ALL), n AS (SELECT query, doc, sum(b * b) AS bb FROM gd GROUP BY ALL)
+SELECT p.query, p.doc, round(coalesce(inside / alla, 0), 5) AS containment, round(coalesce(dot / sqrt(aa::DOUBLE * bb::DOUBLE), 0), 5) AS cosine FROM p LEFT JOIN m USING (query, doc) LEFT JOIN n USING (query, doc)""",
+    # the first place where the words follow one another, in the stored words they come from
+    "evidence_spans": f"""WITH {RECS}, {CASES}, {CONTAINED},
+sw AS (SELECT id AS doc, list_filter(string_split_regex({_clean('matn')}, '{_WHITE}'), lambda w: w <> '') AS ws FROM recs),
+ex AS (SELECT doc, unnest(ws) AS w, unnest(range(0, len(ws))) AS nth FROM sw), nl AS (SELECT doc, nth, list_filter(string_split({_norm('w', False)}, ' '), lambda x: x <> '') AS l FROM ex), nw AS (SELECT doc, nth, unnest(l) AS word, unnest(range(0, len(l))) AS j FROM nl),
+pl AS (SELECT doc, list(word ORDER BY nth, j) AS words, list(nth ORDER BY nth, j) AS ats FROM nw GROUP BY doc),
+qq AS (SELECT id AS query, list_filter(string_split(qn, ' '), lambda w: w <> '') AS q FROM cs),
+h AS (SELECT c.query, c.doc, q, words, ats, list_filter(range(1, len(words) - len(q) + 2), lambda i: words[i] IN (q[1], 'و' || q[1], 'ف' || q[1]) AND words[i + 1:i + len(q) - 1] = q[2:]) AS starts
+  FROM contained c JOIN qq USING (query) JOIN pl USING (doc))
+SELECT query, doc, ats[starts[1]] AS first_word, ats[starts[1] + len(q) - 1] AS last_word, CASE WHEN len(starts) > 0 THEN array_to_string(ws[ats[starts[1]] + 1:ats[starts[1] + len(q) - 1] + 1], ' ') END AS quote FROM h JOIN sw USING (doc)""",
 }

@@ -63,3 +63,8 @@ def rewrite(spark: SparkSession, path: str, change) -> str:
 def catalogue(spark: SparkSession) -> DataFrame:
     """Field catalogue: where each cleaned field comes from."""
     return spark.createDataFrame([(n, c, n in L.CLEANED_FIELDS) for n, c in zip(NAMES, COLUMNS)], "field string, source_column string, cleaned boolean")
+
+
+def books(recs: DataFrame) -> DataFrame:
+    """The books of a corpus: (book, book_title, compiler, records)."""
+    return recs.groupBy("book").agg(F.max("book_title").alias("book_title"), F.max("compiler").alias("compiler"), F.count("*").alias("records"))

@@ -91,3 +91,12 @@ def apply(cases: DataFrame, sheet: DataFrame, recs: DataFrame) -> DataFrame:
     gone = rows.where("decision = 'remove'").select("id")
     kept = cases.select("id", "category", "query", "split", "status", "relevant").join(taken.select("id").union(gone), "id", "left_anti")
     return kept.unionByName(taken)
+
+
+def export(cases: DataFrame, closest: DataFrame) -> DataFrame:
+    """The sheet's rows of cases, with up to three candidate records each, (query, rank, doc) of ``closest``, for a person to look at."""
+    near = closest.groupBy(F.col("query").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]), " ").alias("candidates"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    out = cases.select("id", text("category").alias("category"), F.coalesce("split", F.lit("dev")).alias("split"), text("status").alias("status"), text("query").alias("query"), text("expect").alias("expect"),
+                       F.array_join(F.coalesce("relevant", F.array()), " ").alias("relevant"), F.coalesce("origin.author", F.lit("")).alias("author")).join(near, "id", "left")
+    return out.select(*[text(c).alias(c) if c in out.columns else F.lit("").alias(c) for c in COLUMNS])

@@ -1,10 +1,13 @@
 """Differences, folded trees, generated cases, provenance and the request façade."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslens import api
-from corpuslens.operators import diff, folding, generate, provenance
+from corpuslens.operators import diff, folding, generate, index, provenance, search
+from corpuslens.sources import casefile, review
 
 
 def test_focused_difference():
@@ -59,3 +62,47 @@ def test_requests(spark):
     text = " ".join(service.recs.where("length(nm) > 80").orderBy("id").first()["nm"].split()[:12])
     found, verdict = service.search(text)
     assert verdict.first()["state"] == "found" and found.count() > 0
+
+
+def test_request_actions(spark):
+    service = api.Service(spark, "/root/testdata/sf0.001")
+    ids = [r["id"] for r in service.recs.where("length(nm) > 80").orderBy("id").limit(2).collect()]
+    assert service.compare(*ids).count() == 1 and service.compare(ids[0], ids[0]).first()["shared_words"] == service.compare(ids[0], ids[0]).first()["a_words"]
+    assert service.diff("نص آخر", ids[0]).count() == 1
+    assert service.health().first()["records"] == service.recs.count() == sum(r["records"] for r in service.sources().collect())
+    assert service.grades(ids[0]).columns[0] == "id"
+    with pytest.raises(ValueError, match="not a book"):
+        service.search("نص", book="none")
+    with pytest.raises(ValueError, match="not a record id"):
+        service.diff("نص", "../x")
+
+
+def test_evidence(spark):
+    recs = spark.createDataFrame([("a", "قال، وَإنما  الأعمالُ بالنيات", "قال وانما الاعمال بالنيات"), ("b", "كلمة", "كلمه"), ("c", None, "")], "id string, matn string, nm string")
+    cs = spark.createDataFrame([("q", "انما الاعمال"), ("r", "كلمه"), ("s", "")], "id string, qn string")
+    found = spark.createDataFrame([("q", "a"), ("r", "b"), ("q", "c"), ("s", "a")], "query string, doc string")
+    got = {(r["query"], r["doc"]): (r["first_word"], r["last_word"], r["quote"]) for r in index.evidence(found, cs, recs).collect()}
+    assert got == {("q", "a"): (1, 2, "وَإنما الأعمالُ"), ("r", "b"): (0, 0, "كلمة"), ("q", "c"): (None, None, None)}
+
+
+def test_gram_measures(spark):
+    pairs = spark.createDataFrame([("1", "x", "كتاب", "كتاب كتاب"), ("2", "x", "", "كتاب"), ("3", "x", "علم", "كتاب")], "query string, doc string, qn string, nm string")
+    got = {r["query"]: (r["containment"], r["cosine"]) for r in index.gram_measures(pairs).collect()}
+    assert got == {"1": (1.0, 1.0), "2": (0.0, 0.0), "3": (0.0, 0.0)}
+
+
+def test_shown_results(spark):
+    rows = [("q", i, f"d{i}", m) for i, m in enumerate([0.3, 0.9, 0.4, 0.8, 0.7, 0.6, 0.5, 0.5, 0.5], 1)]
+    got = [r["doc"] for r in search.shown(spark.createDataFrame(rows, "query string, rank int, doc string, match double")).orderBy("place").collect()]
+    assert got == ["d1", "d2", "d4", "d5", "d6", "d7"]
+
+
+def test_case_files_and_export(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"cases": [{"id": "a", "query": "نص", "relevant": ["r1", "r2"], "origin": {"kind": "human", "author": "x"}}, {"id": "b"}]}, ensure_ascii=False), encoding="utf-8")
+    cases = casefile.read(spark, str(tmp_path / "c.json"))
+    casefile.write(cases, str(tmp_path / "out"))
+    again = casefile.read_lines(spark, str(tmp_path / "out"))
+    assert sorted(again.collect(), key=str) == sorted(cases.collect(), key=str) and again.count() == 2
+    near = spark.createDataFrame([("a", 2, "r9"), ("a", 1, "r3")], "query string, rank int, doc string")
+    rows = {r["id"]: r for r in review.export(cases, near).collect()}
+    assert rows["a"]["candidates"] == "r3 r9" and rows["a"]["relevant"] == "r1 r2" and rows["a"]["author"] == "x" and rows["b"]["split"] == "dev" and rows["b"]["candidates"] == ""
