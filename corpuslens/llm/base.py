@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def anew(c: str) -> Column:
+    """A 64-bit key as a value of its own.
+
+    A table that was grouped by its key joins without another shuffle, and then a hot key of the other side can't be split.
+    Under a new value both sides are shuffled for the join, and the adaptive skew join splits the hot one.
+    """
+    return F.col(c).bitwiseXOR(F.lit(0).cast("long"))
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn(RecordBatch) -> dict of column -> array (or RecordBatch), applied to every batch; empty batches are skipped."""
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .base import cut, frequency_sketch, map_arrow
+from .base import anew, cut, frequency_sketch, map_arrow
 from .leaks import _class_of, _flat
 
 SKETCH_BITS = 17
@@ -174,7 +174,7 @@ def overlaps(cases: DataFrame, train: str = "dev", held: str = "test") -> DataFr
 
     pairs = candidates
     for s, df in texts.items():
-        pairs = pairs.join(df.select(F.col("class").alias(f"{s}_class"), F.col("words").alias(f"{s}_words")).hint("merge"), f"{s}_class")
+        pairs = pairs.join(df.select(anew("class").alias(f"{s}_class"), F.col("words").alias(f"{s}_words")).hint("merge"), f"{s}_class")
     measured = map_arrow(pairs, _measure, "dev_class long, test_class long, n int, dev_n int, test_n int")
     most, fewest = F.greatest("dev_n", "test_n"), F.least("dev_n", "test_n")
     first = (fewest >= LONG_MIN) & (F.col("n") * 10 >= most * 8)

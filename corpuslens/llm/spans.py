@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .base import map_arrow
+from .base import anew, map_arrow
 
 MIN_WORDS = 12
 WORD_BYTES = 5
@@ -108,7 +108,7 @@ def factors(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hits = met.groupBy("rec").agg(F.sort_array(F.collect_set("hit")).alias("hits"))  # two for each position of a text
     texts = map_arrow(records, _texts, "rec long, table_name string, rec_id string, words binary").groupBy("rec").agg(*[F.first(c).alias(c) for c in ("table_name", "rec_id", "words")])
     needed = hits.select("rec", F.explode(F.array_distinct("hits.s")).alias("s"))
-    brought = needed.join(texts.select(F.col("rec").alias("s"), "words").hint("merge"), "s").groupBy("rec").agg(F.collect_list(F.struct("s", "words")).alias("sources"))
+    brought = needed.join(texts.select(anew("rec").alias("s"), "words").hint("merge"), "s").groupBy("rec").agg(F.collect_list(F.struct("s", "words")).alias("sources"))
     whole = hits.join(brought.hint("merge"), "rec").join(texts.hint("merge"), "rec").select("table_name", "rec_id", "words", "hits", "sources")
     return map_arrow(whole, _factored(min_words), "table_name string, rec_id string, first_word int, last_word int, source_rec long, source_word int")
 
