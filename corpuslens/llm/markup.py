@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -43,12 +44,12 @@ SHARE_OF_MEAN = 0.1
 _VOID = {"br", "hr", "img", "link", "meta", "input", "wbr", "col", "area", "base", "source"}
 _INLINE = {"span", "a", "b", "i", "em", "strong", "u", "font", "mark", "sup", "sub", "code", "small", "big", "s", "tt", "q", "cite", "abbr", "ins", "del"}
 
-_GONE = regex.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?.*?>")
-_TAG = regex.compile(r"""(?s)<(/?)([A-Za-z][\w:-]*)((?:\s*(?:[^\s"'>=/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?|/))*)\s*>""")
-_CLASS = regex.compile(r"""(?i)\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_COUNTER = regex.compile(r"^\s*\d+\s*-\s*")
+_GONE = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?.*?>")
+_TAG = re.compile(r"""(?s)<(/?)([A-Za-z][\w:-]*)((?:\s*(?:[^\s"'>=/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?|/))*)\s*>""")
+_CLASS = re.compile(r"""(?i)\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_COUNTER = re.compile(r"^\s*\d+\s*-\s*")
 _FORMULA = regex.compile(r"(?s)\$\$.+?\$\$|\$[^$\n]+\$|\\\(.+?\\\)|\\\[.+?\\\]|\\begin\{(equation|align|math|displaymath)\*?\}.*?\\end\{\1\*?\}")
-_FENCE = regex.compile(r"(?s)```.*?```")
+_FENCE = re.compile(r"(?s)```.*?```")
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{Nd}]+")
 # What structure tags become in clean text, where they open and where they close.
 _OPENS = {"p": "\n", "div": "\n", "br": "\n", "hr": "\n", "ul": "\n", "ol": "\n", "table": "\n", "tr": "\n", "blockquote": "\n", "pre": "\n",
@@ -282,9 +283,9 @@ _STRUCTURE = [(regex.compile(a), b) for a, b in (
     (r"\\(?:begin|end)\s*\{(?:itemize|enumerate|center|quote)\}", ""),
     (r"(?m)^\s*={1,6}\s*(.+?)\s*={1,6}\s*$", r"# \1"),
 )]
-_KEPT = regex.compile("\ue000(\\d+)\ue001")
-_ANY_MARK = regex.compile(r"[\[*_~'\\=]")
-_LINES, _BLANKS, _SPACE = regex.compile(r"[^\S\n]*\n\s*"), regex.compile(r"[^\S\n]+"), regex.compile(r"\s+")
+_KEPT = re.compile("\ue000(\\d+)\ue001")
+_ANY_MARK = re.compile(r"[\[*_~'\\=]")
+_LINES, _BLANKS, _SPACE = re.compile(r"[^\S\n]*\n\s*"), re.compile(r"[^\S\n]+"), re.compile(r"\s+")
 
 
 def _marks(text: str) -> str:
