@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from .. import lexicon as L
 from ..functions import text as X
+from . import grammar as G
 from .parser import same_or_prefix
 
 
@@ -132,3 +133,22 @@ def quality(recs: DataFrame, rts: DataFrame) -> DataFrame:
         F.count("*").alias("records"), F.sum((r == 0).cast("long")).alias("without_route"), F.sum(r).alias("routes"), F.sum((r > 1).cast("long")).alias("with_several"),
         F.coalesce(F.sum("names"), F.lit(0)).alias("names"), F.coalesce(F.sum("twice"), F.lit(0)).alias("same_name_twice"))
     return out
+
+
+def parser_quality(facts: DataFrame, raw: DataFrame) -> DataFrame:
+    """One row of counts and rates over parsed sentences (``parser.facts``) and the names of their routes (``parser.routes``).
+
+    Noise are names that begin with a word of narration, or have a word behind them that is no part of a name; rates
+    without a denominator are 0.
+    """
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
+    none, left, strands = F.col("routes") == 0, F.size("fragments") > 0, F.col("switch") | F.col("chain_partial")
+    of = facts.agg(
+        F.count("*").alias("records"), n(none).alias("without_route"), n(none & ~left).alias("nothing_parsed"), n(none & left).alias("fragments_only"), F.coalesce(F.sum("routes"), F.lit(0)).alias("routes"),
+        n(F.col("routes") > 1).alias("with_several"), n(strands).alias("strand_records"), F.coalesce(F.sum(F.when(strands, F.col("routes"))), F.lit(0)).alias("strand_routes"))
+    words = F.split("name", " ")
+    per = raw.groupBy("id", "route_no").agg((F.count("*") - F.count_distinct("name")).alias("twice")).agg(F.coalesce(F.sum("twice"), F.lit(0)).alias("same_name_twice"))
+    names = raw.agg(F.count("*").alias("names"), n(words[0].isin(*sorted(G.NARRATION))).alias("noise_names"), n(F.exists(F.slice(words, 2, F.size(words)), lambda w: w.isin(*G.TRAILS))).alias("trailing_noise"))
+    rate = lambda a, b, by: F.round(F.when(F.col(b) > 0, by * F.col(a) / F.col(b)).otherwise(0.0), 2)
+    whole = of.crossJoin(names).crossJoin(per)  # one row each
+    return whole.select("*", rate("noise_names", "names", 1000).alias("noise_per_1000_names"), rate("strand_routes", "strand_records", 1).alias("routes_per_strand_record"))

@@ -231,6 +231,18 @@ def chain_quality(s, d):
     return chains.quality(_r(s, d), _routes(s, d))
 
 
+def parser_quality(s, d):
+    return chains.parser_quality(parser.facts(_r(s, d)), chain_parse(s, d))
+
+
+def route_provenance(s, d):
+    """Where each name of a route was read, as a record of provenance: source, quoted words, how, and how sure."""
+    v = name_view(s, d)
+    url = F.concat(F.lit("record:"), "id")
+    made = provenance.make(F.lit("isnad"), url, F.col("quote"), F.lit(None).cast("string"), F.col("method"), F.col("confidence"))
+    return v.select("id", "route_no", "step", "name", made.alias("p")).select("id", "route_no", "step", "name", "p.source", "p.url", "p.quote", "p.method", "p.confidence")
+
+
 def route_tree_exact(s, d):
     return tree.nodes(tree.prefixes(_routes(s, d)))
 
@@ -399,7 +411,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     name_relations, routes_as_text, route_expand, find_narrator, routes_through, grade_match, grade_partition, grades_cache, grades_to_fetch,
     case_sources, record_cards, chain_parse, chain_parse_tree,
     search_metrics, verdict_metrics, search_threshold_report, completed_chains, corrected_names, sentence_facts, family_tree, family_branch_point,
-    family_summary, incomplete_routes, routes_compared, visible_routes, evidence_spans, results_shown, review_export, book_catalogue, gram_measures, tagged_words, record_view, name_view,
+    family_summary, incomplete_routes, routes_compared, visible_routes, evidence_spans, results_shown, review_export, book_catalogue, gram_measures, tagged_words, record_view, name_view, parser_quality, route_provenance,
     route_tree_folded, word_diffs, partial_cases, spelling_cases, route_methods,
 )}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import lexicon as L
 from ..functions.text import HONORIFICS, STOPWORDS
-from ..operators.provenance import METHODS
+from ..operators.provenance import METHODS, MISSING
 
 
 def _norm(x: str, drop: bool = True) -> str:
@@ -101,6 +101,12 @@ CARDS = f"""{RECS}, cl AS (SELECT *, {_clean('matn')} AS m, {_clean('grade')} AS
 CONTAINED = """contained AS (SELECT c.id AS query, r.id AS doc FROM cs c JOIN recs r ON c.qn <> '' AND (contains(' ' || r.nm || ' ', ' ' || c.qn || ' ')
   OR contains(' ' || r.nm || ' ', ' و' || c.qn || ' ') OR contains(' ' || r.nm || ' ', ' ف' || c.qn || ' ')))"""
 
+NAMED = f"""{RECS}, w AS (SELECT id, list_filter(string_split_regex(concat_ws(' ', isnad, matn), '{_WHITE}'), lambda w: w <> '') AS ws FROM recs),
+v AS (SELECT DISTINCT id, route_no, step, name, span_start, span_end, uncertain, join_kind FROM routes WHERE id IS NOT NULL AND name IS NOT NULL),
+named AS (SELECT v.id, route_no, step, name, CASE WHEN span_start IS NOT NULL THEN array_to_string(ws[span_start + 1:span_end], ' ') END AS quote, CASE WHEN uncertain THEN 'uncertain' ELSE 'high' END AS confidence,
+  array_to_string(list_transform(list_filter(string_split(coalesce(join_kind, 'direct'), '+'), lambda p: p <> ''), lambda p: CASE p {_METHODS} ELSE p END), '; ') AS method
+FROM v JOIN w ON w.id = v.id)"""
+
 SQL: dict[str, str] = {
     "normalize_records": f"WITH {RECS} SELECT id, nm, regexp_replace(string_split(nm, ' ')[1], '^({_STEM})(..)', '\\2') AS first_stem FROM recs",
     "token_stats": f"WITH {RECS}, {POST} SELECT n, round(avgdl, 6) AS avgdl FROM st",
@@ -199,11 +205,8 @@ SELECT CASE WHEN skey IN (SELECT skey FROM s WHERE result_id % 2 = 0) THEN 'buil
 p AS (SELECT id, count(DISTINCT route_no) AS routes, count(*) AS names, count(*) FILTER (uncertain) AS uncertain, count(*) FILTER (is_relative) AS relatives FROM v GROUP BY id)
 SELECT c.*, coalesce(p.routes, 0) AS routes, coalesce(p.names, 0) AS names, coalesce(p.uncertain, 0) AS uncertain, coalesce(p.relatives, 0) AS relatives, refs.refers_to
 FROM cards c LEFT JOIN p ON p.id = c.id LEFT JOIN refs ON refs.id = c.id""",
-    "name_view": f"""WITH {RECS}, w AS (SELECT id, list_filter(string_split_regex(concat_ws(' ', isnad, matn), '{_WHITE}'), lambda w: w <> '') AS ws FROM recs),
-v AS (SELECT DISTINCT id, route_no, step, name, span_start, span_end, uncertain, join_kind FROM routes WHERE id IS NOT NULL AND name IS NOT NULL)
-SELECT v.id, route_no, step, name, CASE WHEN span_start IS NOT NULL THEN array_to_string(ws[span_start + 1:span_end], ' ') END AS quote, CASE WHEN uncertain THEN 'uncertain' ELSE 'high' END AS confidence,
-  array_to_string(list_transform(list_filter(string_split(coalesce(join_kind, 'direct'), '+'), lambda p: p <> ''), lambda p: CASE p {_METHODS} ELSE p END), '; ') AS method
-FROM v JOIN w ON w.id = v.id""",
+    "name_view": f"WITH {NAMED} SELECT * FROM named",
+    "route_provenance": f"WITH {NAMED} SELECT id, route_no, step, name, 'isnad' AS source, 'record:' || id AS url, CASE WHEN coalesce(quote, '') = '' THEN '{MISSING}' ELSE quote END AS quote, method, confidence FROM named",
     "visible_routes": f"""WITH {ROUTES}, a AS (SELECT *, len(names) AS k, bool_or(linked) OVER (PARTITION BY id) AS anyl FROM rts), b AS (SELECT *, min(k) OVER (PARTITION BY id) AS least FROM a WHERE linked = anyl)
 SELECT id, count(*) AS routes, count(DISTINCT CASE WHEN linked THEN names[1] END) AS companions, min(k) AS shortest FROM b WHERE k = least GROUP BY id""",
     "book_catalogue": f"WITH {RECS} SELECT book, max(book_title) AS book_title, max(compiler) AS compiler, count(*) AS records FROM recs GROUP BY book",

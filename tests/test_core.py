@@ -265,3 +265,14 @@ def test_similar_is_exact(spark):
         want = {(a, b) for a in queries for b in vectors if a != b and sum(v * vectors[b].get(g, 0.0) for g, v in vectors[a].items()) >= least}
         got = {(r["doc"], r["other"]) for r in families.similar(recs, spark.createDataFrame([(q,) for q in queries], "doc string"), least).collect()}
         assert got == want and (want or least > 0.3)
+
+
+def test_parser_quality(spark):
+    from corpuslens.operators import parser
+
+    df = spark.createDataFrame([("a", "حدثنا زيد بن علي عن عمرو ح وحدثنا بكر بن سعد عن عمرو", ""), ("b", None, None), ("c", "حدثنا زيد بن علي عن عمرو عن زيد بن علي", "")], "id string, isnad string, matn string")
+    got = chains.parser_quality(parser.facts(df), parser.routes(df)).first()
+    assert (got["records"], got["without_route"], got["nothing_parsed"], got["fragments_only"]) == (3, 1, 1, 0)
+    assert got["routes"] == 3 and got["with_several"] == 1 and got["strand_records"] == 1 and got["routes_per_strand_record"] == 2.0 and got["same_name_twice"] == 1 and got["noise_names"] == 0
+    empty = chains.parser_quality(parser.facts(df.limit(0)), parser.routes(df.limit(0))).first()
+    assert empty["records"] == 0 and empty["noise_per_1000_names"] == 0.0
