@@ -15,6 +15,9 @@ from ..functions import text as X
 from .records import kept
 
 
+PREFIX = 3
+
+
 def postings(recs: DataFrame) -> DataFrame:
     """(term, doc, tf)."""
     return recs.select(F.col("id").alias("doc"), F.explode(X.tokens(F.col("nm"))).alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
@@ -129,15 +132,17 @@ def in_order(a: pd.Series, b: pd.Series) -> pd.Series:
 def closest(cs: DataFrame, recs: DataFrame, k: int = 3) -> DataFrame:
     """(query, rank, doc, share, common): of the records with at least half of a query's distinct words, the k that match most of it in order.
 
-    Ties go to more common words, then to the smaller id.  A record with that many of the words has one of the query's
-    rarest ones (all but as many as it may lack), so only those are joined; frequent words meet nothing.
+    Ties go to more common words, then to the smaller id.  A record that lacks no more of the query's words than it may has
+    at least ``PREFIX`` of the rarest ones, which are as many as it may lack and ``PREFIX`` more; so only those are joined,
+    frequent words meet nothing, and records that share a single rare word are not compared.
     """
     words = recs.select(F.col("id").alias("doc"), F.explode(F.array_distinct(X.words(F.col("nm")))).alias("word"))
     rarity = words.groupBy("word").agg(F.count("*").alias("df"))
     q = cs.select(F.col("id").alias("query"), "qn", F.array_distinct(X.words(F.col("qn"))).alias("ws")).where(F.size("ws") > 0).withColumn("need", F.greatest(F.lit(1), F.floor(F.size("ws") / 2)))
     place = F.row_number().over(Window.partitionBy("query").orderBy("df", "word"))
-    rare = q.select("query", F.size("ws").alias("n"), "need", F.explode("ws").alias("word")).join(rarity, "word", "left").withColumn("place", place).where("place <= n - need + 1 and df is not null")
-    met = rare.select("query", "word").join(words, "word").select("query", "doc").distinct()
+    rare = q.select("query", F.size("ws").alias("n"), "need", F.explode("ws").alias("word")).join(rarity, "word", "left").withColumn("place", place)
+    rare = rare.withColumn("least", F.least("need", F.lit(PREFIX))).where("place <= n - need + least and df is not null").select("query", "word", "least")
+    met = rare.join(words, "word").groupBy("query", "doc", "least").agg(F.count("*").alias("have")).where("have >= least").select("query", "doc")
     both = met.join(q, "query").join(recs.select(F.col("id").alias("doc"), "nm"), "doc").withColumn("common", F.size(F.array_intersect("ws", X.words(F.col("nm"))))).where("common >= need")
     scored = both.withColumn("share", in_order("qn", "nm") / F.size(X.words(F.col("qn"))))
     w = Window.partitionBy("query").orderBy(F.desc("share"), F.desc("common"), "doc")
