@@ -1,6 +1,6 @@
 """Continuous verification: a stream of texts against the stored records, without state.
 
-The reference answers one request after another; as a stream this is a stream-static join on shared words followed by
+Requests that come one after another are, as a stream, a stream-static join on shared words followed by
 an exact containment test, so it needs no watermark and keeps nothing between batches.
 """
 
