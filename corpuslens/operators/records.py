@@ -65,10 +65,11 @@ def references(recs: DataFrame) -> DataFrame:
 
 
 def hash_sample(recs: DataFrame, per_book: int = L.SAMPLE_PER_BOOK) -> DataFrame:
-    """(book, category, rank, id): per book the first few records by hash: exact (6-30 words), then partial (>= 20) without those."""
+    """(book, category, rank, id): per book the first few records by hash: exact (6-30 words), then partial (>= 20) without those, then spelling (>= 16) without either."""
     base = recs.where("book is not null").select("id", "book", F.size(X.words(F.col("nm"))).alias("n"), X.sample_key(F.col("id")).alias("key"))
     w = Window.partitionBy("book").orderBy("key", "id")
     pick = lambda df, name: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_book).select("book", F.lit(name).alias("category"), "rank", "id")
     exact = pick(base.where("n between 6 and 30"), "exact")
     partial = pick(base.where("n >= 20").join(exact.select("id"), "id", "left_anti"), "partial")
-    return exact.unionByName(partial)
+    both = exact.unionByName(partial)
+    return both.unionByName(pick(base.where("n >= 16").join(both.select("id"), "id", "left_anti"), "spelling"))

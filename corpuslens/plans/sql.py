@@ -149,8 +149,9 @@ SELECT book, run, chapter, min(pos) AS first_pos, max(pos) AS last_pos, count(*)
     "prev_reference": f"WITH {RECS}, {REFERS} SELECT id, refers_to FROM refs",
     "hash_sample": f"""WITH {RECS}, b AS (SELECT id, book, len(list_filter(string_split(nm, ' '), lambda w: w <> '')) AS n, sha1('{L.SAMPLE_SEED}:' || id) AS key FROM recs WHERE book IS NOT NULL),
 e AS (SELECT book, 'exact' AS category, row_number() OVER (PARTITION BY book ORDER BY key, id) AS rank, id FROM b WHERE n BETWEEN 6 AND 30 QUALIFY rank <= {L.SAMPLE_PER_BOOK}),
-p AS (SELECT book, 'partial' AS category, row_number() OVER (PARTITION BY book ORDER BY key, id) AS rank, id FROM b WHERE n >= 20 AND id NOT IN (SELECT id FROM e) QUALIFY rank <= {L.SAMPLE_PER_BOOK})
-SELECT * FROM e UNION ALL SELECT * FROM p""",
+p AS (SELECT book, 'partial' AS category, row_number() OVER (PARTITION BY book ORDER BY key, id) AS rank, id FROM b WHERE n >= 20 AND id NOT IN (SELECT id FROM e) QUALIFY rank <= {L.SAMPLE_PER_BOOK}),
+s AS (SELECT book, 'spelling' AS category, row_number() OVER (PARTITION BY book ORDER BY key, id) AS rank, id FROM b WHERE n >= 16 AND id NOT IN (SELECT id FROM e UNION ALL SELECT id FROM p) QUALIFY rank <= {L.SAMPLE_PER_BOOK})
+SELECT * FROM e UNION ALL SELECT * FROM p UNION ALL SELECT * FROM s""",
     # the place is the first name that is the wanted one, or begins with it, or with which it begins
     "lookback_join": f"""WITH {RECS}, {ROUTES}, up AS (SELECT r.id, r.route_no, list_reverse(r.names) AS names, h.book, h.pos FROM rts r JOIN recs h ON h.id = r.id),
 x AS (SELECT a.id, a.route_no, b.id AS donor, b.route_no AS donor_route, a.pos - b.pos AS back, len(b.names) AS n, a.names[-1] AS tail, b.names AS theirs, unnest(range(1, len(b.names) + 1)) AS i
