@@ -221,3 +221,33 @@ def test_wording_of_a_text_that_fills_a_third(spark):
     quotes = spark.createDataFrame([("whole", hot), ("half", " ".join(W[8:28])), ("other", " ".join(V[:20]))], "rec_id string, text string")
     sizes = {(r.q_size, r.r_size, r.n) for r in linkage.wording(quotes, records).where("n >= q_size / 2").collect()}
     assert {(34, 34, 34), (20, 34, 20)} <= sizes
+
+
+def test_wording_that_none_of_the_rarest_words_shares(spark):
+    """A run of RUN words is met, though rarer words stand elsewhere in the record, or changed words in the quotation."""
+    rare, long, new = base_words(20, 40), base_words(180, 60), base_words(30, 90)
+    long = [f"{w}{V[i // 28]}" for i, w in enumerate(long)]
+    rows = [("half", " ".join(rare + W[:24])), ("long", " ".join(long))] + [(f"o{i}", " ".join(W[(5 * i + 7 * k) % 60] for k in range(30))) for i in range(60)]
+    records = spark.createDataFrame(rows, "rec_id string, text string")
+    changed = [f"{new[i // 9]}جديد" if i % 9 == 8 else w for i, w in enumerate(long)]
+    quotes = spark.createDataFrame([("frequent", " ".join(W[:24])), ("changed", " ".join(changed))], "rec_id string, text string")
+    sizes = {(r.q_size, r.r_size, r.n) for r in linkage.wording(quotes, records).where("n >= q_size / 2").collect()}
+    assert {(24, 44, 24), (180, 180, 160)} <= sizes
+
+
+def test_every_shared_run_is_met():
+    rng = np.random.default_rng(2)
+    words = [f"{a}{b}" for a in W[:30] for b in "بتثجح"]
+    weight = 1 / np.arange(1, len(words) + 1)
+    texts = [list(rng.choice(words, rng.integers(4, 90), p=weight / weight.sum())) for _ in range(60)]
+    for i in range(0, 60, 2):  # a run of eight words anywhere in two texts, between the rarest words
+        at, to = rng.integers(0, len(texts[i]) + 1), rng.integers(0, len(texts[i + 1]) + 1)
+        run = list(rng.choice(words[:12], linkage.RUN))
+        texts[i][at:at], texts[i + 1][to:to] = run, run
+    runs = [{tuple(t[k : k + linkage.RUN]) for k in range(len(t) - linkage.RUN + 1)} for t in texts]
+    want = {(i, j) for i in range(60) for j in range(i) if runs[i] & runs[j]}
+    row, value, letters = linkage._unpack(linkage._lists(pa.RecordBatch.from_pydict({"text": [" ".join(t) for t in texts]}))["words"])
+    counts = np.bincount((value >> np.uint64(64 - linkage.SKETCH_BITS)).astype(np.int64), minlength=1 << linkage.SKETCH_BITS)
+    text, key, _ = linkage.window_rows(row, value, letters, counts)
+    keys = [set(key[text == i].tolist()) for i in range(60)]
+    assert len(want) >= 30 and all(keys[i] & keys[j] for i, j in want)
