@@ -251,3 +251,29 @@ def test_every_shared_run_is_met():
     text, key, _ = linkage.window_rows(row, value, letters, counts)
     keys = [set(key[text == i].tolist()) for i in range(60)]
     assert len(want) >= 30 and all(keys[i] & keys[j] for i, j in want)
+
+
+def test_packed_windows_lose_nothing(spark):
+    rng = np.random.default_rng(4)
+    n, u = 4000, np.uint64
+    key, rest = rng.integers(0, 2**63, n).astype(u) * u(2), rng.integers(0, 2**63, n).astype(u) * u(2)
+    bits = rng.integers(0, 64, (2, n)).astype(u)
+    other = rest ^ u(1) << bits[0] ^ np.where(rng.random(n) < 0.7, u(1) << bits[1], u(0))  # two bits, one or none
+    q_size = rng.integers(1, 400, n)
+    r_size = np.array([rng.integers(np.ceil(linkage.FLOOR * x), np.floor(x / linkage.PART) + 1) for x in q_size])
+    far = rng.random(n) < 0.3
+    q, r = (linkage.packed(np.arange(n), key, *x).view(np.int64).tolist() for x in ((rest, q_size), (np.where(far, vec.mix(rest), other), r_size)))
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(q, r))], "i int, q_window long, r_window long")
+    met = {x.i for x in rows.where(linkage._meet()).collect()}
+    assert set(np.flatnonzero(~far).tolist()) <= met and len(met & set(np.flatnonzero(far).tolist())) < 0.01 * n
+    small = [linkage.packed(np.arange(1), key[:1], rest[:1], np.array([x])).view(np.int64).tolist()[0] for x in (10, 30, 40)]
+    sizes = spark.createDataFrame([(small[0], small[1]), (small[2], small[0])], "q_window long, r_window long")
+    assert sizes.where(linkage._meet()).count() == 0
+
+
+def test_texts_are_gathered_once(spark):
+    """Windows and the words they are compared by come from one shuffle of each side's texts."""
+    df = spark.createDataFrame([("a", TEXTS["a"]), ("b", TEXTS["b"])], "rec_id string, text string")
+    pairs = linkage.wording(df, df.withColumn("text", F.concat("text", F.lit(" قال"))))
+    assert len(pairs.collect()) == 4
+    assert pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") == 2
