@@ -32,6 +32,9 @@ RECS = f"""recs0 AS (SELECT * FROM hadiths WHERE id IS NOT NULL QUALIFY row_numb
 recs AS (SELECT *, {_norm(_clean('matn'))} AS nm FROM recs0)"""
 CASES = f"""cs0 AS (SELECT * FROM cases WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY saved_at) = 1),
 cs AS (SELECT *, {_norm(f'left(query, {L.MAX_QUERY_CHARS})')} AS qn FROM cs0)"""
+# whole queries, where nothing says that they are cut
+WHOLE = f"""cs0 AS (SELECT * FROM cases WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY saved_at) = 1),
+cs AS (SELECT *, {_norm('query')} AS qn FROM cs0)"""
 WORDS = "words AS (SELECT id AS doc, unnest(string_split(nm, ' ')) AS word FROM recs)"
 POST = f"""{WORDS}, toks AS (SELECT doc, word AS term FROM words WHERE length(word) > 1 AND word NOT IN ({_STOP})),
 post AS (SELECT term, doc, count(*) AS tf FROM toks GROUP BY ALL),
@@ -115,7 +118,7 @@ SQL: dict[str, str] = {
     "detect_modes": f"WITH {CASES} SELECT id, CASE WHEN regexp_matches({_norm('query')}, '{_TOPIC}') THEN 'topic' ELSE 'verify' END AS mode, trim(regexp_replace(qn, '{_TOPIC}', '')) AS topic FROM cs",
     "inverted_index": f"WITH {RECS}, {POST} SELECT term, doc, tf FROM post",
     "term_idf": f"WITH {RECS}, {POST} SELECT term, df, round(idf, 6) AS idf FROM terms",
-    "bm25_topk": f"WITH {BM25} SELECT query, rank, doc, score FROM rk WHERE rank <= {L.RESULTS}",
+    "bm25_topk": f"WITH {BM25.replace(CASES, WHOLE)} SELECT query, rank, doc, score FROM rk WHERE rank <= {L.RESULTS}",
     "bm25_book_filter": f"""WITH {BM25}, cutoff AS (SELECT *, max(score) OVER (PARTITION BY query) AS best FROM rk WHERE rank <= {L.BM25_CUT})
 SELECT query, place, doc, round(score / best, 4) AS relative FROM (SELECT c.*, row_number() OVER (PARTITION BY query ORDER BY rank) AS place
   FROM cutoff c JOIN recs r ON r.id = c.doc WHERE r.book = 'wadi') WHERE place <= {L.ALIGNED}""",
