@@ -47,3 +47,17 @@ def test_bm25_of_the_whole_query(spark, long_query):
     d, _, late = long_query
     assert {(r["doc"], r["rank"]) for r in QUERIES["bm25_topk"](spark, d).collect()} > {(late, 1)}
     same_as_sql(spark, long_query, "bm25_topk")
+
+
+def test_closest_to_the_whole_query(spark, tmp_path):
+    """The first record has the words behind the cut too and is closer for it."""
+    d = str(tmp_path)
+    words = [f"{a}{b}{c}" for a in "ابتثجحخد" for b in "رزسشصضطظ" for c in "عغفقكلمن"][:400]
+    cut = " ".join(words)[: L.MAX_QUERY_CHARS].split()[:-1]
+    r = [x["id"] for x in spark.read.parquet(f"{DATA}/hadiths.parquet").where("id is not null").select("id").distinct().orderBy("id").limit(2).collect()]
+    texts = spark.createDataFrame([(r[1], " ".join(words)), (r[0], " ".join(cut))], "id string, text string")
+    spark.read.parquet(f"{DATA}/hadiths.parquet").dropDuplicates(["id"]).join(texts, "id").withColumn("matn", F.col("text")).drop("text").write.parquet(f"{d}/hadiths.parquet")
+    spark.read.parquet(f"{DATA}/cases.parquet").where("id is not null").dropDuplicates(["id"]).limit(1).withColumn("query", F.lit(" ".join(words))).write.parquet(f"{d}/cases.parquet")
+    got = [(x["doc"], x["share"], x["common"]) for x in QUERIES["closest_candidates"](spark, d).orderBy("rank").collect()]
+    assert got == [(r[1], 1.0, len(words)), (r[0], round(len(cut) / len(words), 2), len(cut))]
+    assert QUERIES["review_export"](spark, d).first()["candidates"].startswith(r[1])
