@@ -214,7 +214,7 @@ FROM cards c LEFT JOIN p ON p.id = c.id LEFT JOIN refs ON refs.id = c.id""",
     "visible_routes": f"""WITH {ROUTES}, a AS (SELECT *, len(names) AS k, bool_or(linked) OVER (PARTITION BY id) AS anyl FROM rts), b AS (SELECT *, min(k) OVER (PARTITION BY id) AS least FROM a WHERE linked = anyl)
 SELECT id, count(*) AS routes, count(DISTINCT CASE WHEN linked THEN names[1] END) AS companions, min(k) AS shortest FROM b WHERE k = least GROUP BY id""",
     "book_catalogue": f"WITH {RECS} SELECT book, max(book_title) AS book_title, max(compiler) AS compiler, count(*) AS records FROM recs GROUP BY book",
-    "gram_measures": f"""WITH {RECS}, {CASES}, p AS (SELECT DISTINCT c.id AS query, c.qn, r.id AS doc, r.nm FROM (SELECT id, qn, unnest(relevant) AS rel FROM cs) c JOIN recs r ON r.id = c.rel),
+    "gram_measures": f"""WITH {RECS}, {WHOLE}, p AS (SELECT DISTINCT c.id AS query, c.qn, r.id AS doc, r.nm FROM (SELECT id, qn, unnest(relevant) AS rel FROM cs) c JOIN recs r ON r.id = c.rel),
 gq AS (SELECT query, doc, gram, count(*) AS a FROM (SELECT query, doc, substr(w, i::INT, 3) AS gram FROM (SELECT query, doc, w, unnest(range(1, greatest(length(w) - 2, 1) + 1)) AS i FROM (SELECT query, doc, ' ' || unnest(list_filter(string_split(qn, ' '), lambda x: x <> '')) || ' ' AS w FROM p))) GROUP BY ALL),
 gd AS (SELECT query, doc, gram, count(*) AS b FROM (SELECT query, doc, substr(w, i::INT, 3) AS gram FROM (SELECT query, doc, w, unnest(range(1, greatest(length(w) - 2, 1) + 1)) AS i FROM (SELECT query, doc, ' ' || unnest(list_filter(string_split(nm, ' '), lambda x: x <> '')) || ' ' AS w FROM p))) GROUP BY ALL),
 m AS (SELECT query, doc, sum(a) FILTER (b IS NOT NULL) AS inside, sum(a) AS alla, sum(a * b) AS dot, sum(a * a) AS aa FROM gq LEFT JOIN gd USING (query, doc, gram) GROUP BY ALL), n AS (SELECT query, doc, sum(b * b) AS bb FROM gd GROUP BY ALL)

@@ -61,3 +61,14 @@ def test_closest_to_the_whole_query(spark, tmp_path):
     got = [(x["doc"], x["share"], x["common"]) for x in QUERIES["closest_candidates"](spark, d).orderBy("rank").collect()]
     assert got == [(r[1], 1.0, len(words)), (r[0], round(len(cut) / len(words), 2), len(cut))]
     assert QUERIES["review_export"](spark, d).first()["candidates"].startswith(r[1])
+
+
+@pytest.mark.parametrize("name", ["gram_measures", "ir_metrics"])
+def test_measures_of_the_whole_query(spark, long_query, name):
+    d, con, late = long_query
+    got = QUERIES[name](spark, d).collect()
+    if name == "gram_measures":
+        assert {r["doc"] for r in got} == {late} and all(0 < r["containment"] < 0.2 for r in got)
+    else:
+        assert all(r["mrr"] == 1.0 for r in got)
+    same_as_sql(spark, long_query, name)
