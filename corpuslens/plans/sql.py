@@ -135,7 +135,7 @@ SELECT term, alternative, round(j, 3) AS weight, row_number() OVER (PARTITION BY
     "near_copies": f"""WITH {WEIGHTS}, sim AS (SELECT a.doc, b.doc AS other, sum(a.w * b.w) AS s FROM wt a JOIN wt b USING (gram) WHERE a.doc IN (SELECT id FROM recs WHERE pos % 100 = 0) AND a.doc <> b.doc GROUP BY ALL)
 SELECT doc, other FROM sim WHERE s >= 0.9""",
     "family_closure": f"WITH {CLOSURE} SELECT doc, member, similarity FROM fam",
-    "ir_metrics": f"WITH {METRICS} SELECT * FROM mt",
+    "ir_metrics": f"WITH {METRICS.replace(CASES, WHOLE)} SELECT * FROM mt",
     "threshold_report": f"""WITH {METRICS}, fl(scope, metric, floor) AS (VALUES {_FLOORS}),
 lg AS (UNPIVOT (SELECT coalesce(category, 'overall') AS scope, {', '.join(_NAMES)} FROM mt WHERE split = 'dev' AND gid IN (0, 2)) ON {', '.join(_NAMES)} INTO NAME metric VALUE value)
 SELECT fl.scope, fl.metric, fl.floor, value, coalesce(value >= fl.floor, false) AS holds FROM fl LEFT JOIN lg ON lg.scope = fl.scope AND lg.metric = fl.metric""",
