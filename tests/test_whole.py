@@ -72,3 +72,47 @@ def test_measures_of_the_whole_query(spark, long_query, name):
     else:
         assert all(r["mrr"] == 1.0 for r in got)
     same_as_sql(spark, long_query, name)
+
+
+QUERY = "واحد اثنان ثلاثه اربعه خمسه سته"
+
+
+def test_alignment_of_all_words_beside_all_anchors():
+    from corpuslens.operators import search
+
+    words, other = QUERY.split(), [f"غير{c}" for c in "ابتثجحخدذرزسشصضطظعغفقكلمن"]
+    assert search.align(words, [words[0]] * 20 + other + words, [1.0] * 6) == 1.0
+    many = [a + b for a in "ابتثجحخدذرزس" for b in "شصضطظعغفقكل"][:130]
+    assert search.align(many, many[:3] + many[120:], [1.0] * 130) >= 13 / 130
+
+
+@pytest.fixture(scope="module")
+def far_down(spark, tmp_path_factory):
+    """Fifty records with a query's words the wrong way round, and one, long, that has them in order: BM25 has it last."""
+    d = str(tmp_path_factory.mktemp("far"))
+    recs = spark.read.parquet(f"{DATA}/hadiths.parquet").where("id is not null").dropDuplicates(["id"]).orderBy("id").limit(60).cache()
+    n = spark.createDataFrame([(x["id"], i) for i, x in enumerate(recs.select("id").orderBy("id").collect())], "id string, i int")
+    right = n.orderBy("i").first()["id"]
+    long = "كلام طويل " * 60 + QUERY
+    text = F.when(F.col("i") == 0, long).when(F.col("i") <= 50, " ".join(reversed(QUERY.split()))).otherwise("شيء غيره")
+    recs.join(n, "id").withColumn("matn", text).drop("i").coalesce(1).write.parquet(f"{d}/hadiths.parquet")
+    c = spark.read.parquet(f"{DATA}/cases.parquet").where("id is not null").dropDuplicates(["id"]).limit(1)
+    c = c.withColumn("query", F.lit(QUERY)).withColumn("relevant", F.array(F.lit(right))).withColumn("expect", F.lit("exists")).withColumn("status", F.lit("auto")).withColumn("split", F.lit("dev"))
+    c.coalesce(1).write.parquet(f"{d}/cases.parquet")
+    return d, right
+
+
+@pytest.mark.parametrize("name", ["search_verify", "results_shown", "search_metrics", "verdict_metrics", "search_threshold_report"])
+def test_every_record_that_is_met_is_aligned(spark, far_down, name):
+    d, right = far_down
+    got = QUERIES[name](spark, d).collect()
+    if name == "search_verify":
+        assert [r["doc"] for r in got if r["rank"] == 1] == [right] and [r["match"] for r in got if r["rank"] == 1] == [1.0]
+    elif name == "results_shown":
+        assert [(r["place"], r["doc"]) for r in got] == [(1, right)]
+    elif name == "search_metrics":
+        assert all(r["recall_at_1"] == 1.0 and r["mrr"] == 1.0 for r in got)
+    elif name == "verdict_metrics":
+        assert all((r["verdict_recall"], r["top1_precision"], r["missed"]) == (1.0, 1.0, 0) for r in got)
+    else:
+        assert {r["value"] for r in got if r["scope"] == "overall"} == {1.0}
